@@ -268,7 +268,7 @@ def complete(counts: np.ndarray, length: int, width: int, turn: int, waste: int)
                 return None
 
 
-def pack_lengths(counts: np.ndarray, length: int = LENGTH, width: int = 4, turns: int = 12) -> list[Pattern]:
+def pack_lengths(counts: np.ndarray, length: int = LENGTH, width: int = 4, turns: int = 3) -> list[Pattern]:
     """Patterns with multiplicities that hold every item; counts[s] is the number of items of length s.
 
     Best-fit decreasing is the first incumbent. Bin completion then searches
