@@ -42,7 +42,7 @@ def quoted(x: str) -> str:
 
 def luhn(d: str) -> str:
     two = f"2 * cast(substr({d}, length({d}) - i + 1, 1) as int)"
-    return f"aggregate(sequence(1, length({d})), 0, (a, i) -> a + if(i % 2 = 1, cast(substr({d}, length({d}) - i + 1, 1) as int), ({two}) div 10 + ({two}) % 10)) % 10 = 0"
+    return f"aggregate(sequence(1, length({d})), 0, (a, i) -> a + if(i % 2 = 1, cast(substr({d}, length({d}) - i + 1, 1) as int), cast(({two}) div 10 + ({two}) % 10 as int))) % 10 = 0"
 
 
 DIGITS = "regexp_replace(z.m, '[^0-9]', '')"
@@ -148,12 +148,13 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 24) -> tuple[float, tuple]:
 
 
 def thresholds(margin: np.ndarray, kind: np.ndarray, y: np.ndarray, precision: float = 0.95) -> tuple[float, ...]:
-    """For each kind the least log odds from which on at least `precision` of the held-out candidates are right."""
+    """For each kind the least log odds from which on at least `precision` of the held-out candidates are right; never under even odds."""
     out = []
     for k in range(len(KINDS)):
         m = np.argsort(-margin[kind == k], kind="stable")
         s, hit = margin[kind == k][m], np.cumsum(y[kind == k][m])
-        ok = np.flatnonzero(hit / np.arange(1, len(s) + 1) >= precision) if len(s) else []
+        last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)  # equal scores are taken together
+        ok = np.flatnonzero(last & (s >= 0) & (hit / np.arange(1, len(s) + 1) >= precision)) if len(s) else []
         out.append(float(s[ok[-1]]) if len(ok) else 1e9)
     return tuple(out)
 
