@@ -1,8 +1,60 @@
 """The training-data pipeline: stages, each on all that its predecessor kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import op2_suffix_dedup, op6_simhash, op8_pii, op9_quality, op10_packing
+from lodestone.llm.common import prepare, read_table, scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
+    """docs with the text (doc_id, text) in place of its own, n_chars counted again. Ids must be unique, as in `documents`."""
+    return docs.drop("text", "n_chars").join(text.select("doc_id", "text"), "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling accepts; the target model is fitted on `labels`."""
+    kept = op9_quality.classify(docs, read_table(spark, sf_dir, "labels")).where("accepted").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, that with the smallest id."""
+    kept = op6_simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in repeated 200-byte strings go; a character that loses some of its bytes goes whole. Documents of which nothing is left go."""
+    kept = op2_suffix_dedup.cut_texts(docs)
+    return with_text(docs, kept.where("length(text) > 0 or n_removed = 0"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become [KIND]. The text travels in one pass; other columns are carried along."""
+    model = op8_pii.fit(spark)
+    found = op8_pii.redacted(op8_pii.detect(docs, model, keep=["lang", "source"]), keep=["lang", "source"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return op10_packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("suffix_dedup", repeats), ("pii", personal_data), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = scratch(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

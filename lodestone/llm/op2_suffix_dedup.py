@@ -43,5 +43,17 @@ def cut_bytes(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True) ->
     return repeats(docs, shape(length, 16, 20), symbols, finish, DDL, OUT)
 
 
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """cut_bytes() with what is left as text; a character of which bytes were removed goes whole."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
+
+    def make(batches):
+        for b in batches:
+            texts = [k.decode("utf-8", "ignore") for k in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], schema=schema)
+
+    return cut_bytes(docs, length).select("doc_id", "kept", "n_removed").mapInArrow(make, "doc_id bigint, text string, n_removed bigint")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_bytes(read_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")

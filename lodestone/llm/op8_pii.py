@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, read_table
+from lodestone.llm.common import read_table
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban"]
 #: Base patterns. Possessive repeats and the look-behinds change no match: what they skip can't match, and matching stays linear.
@@ -220,14 +220,15 @@ def fit(spark: SparkSession, n: int = 3000, seed: int = 8) -> Boosted:
 # ---------------------------------------------------------------- operator
 
 
-def detect(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
+def detect(docs: DataFrame, model: Boosted | None = None, keep: list[str] = ()) -> DataFrame:
     """(doc_id, t, base, spans): the text (null: empty), base spans, and base spans with those that the model adds.
 
     A span is a struct (s, k, e, m): start, number of its kind in KINDS, end
     (exclusive; both in code points) and the matched text; spans are sorted by
     start, then kind. Base spans stay. A candidate is added if its log odds reach
     its kind's threshold, no base span overlaps it, and no better candidate does
-    (ties: the first). A row gives a row, null and repeated ids included.
+    (ties: the first). A row gives a row, null and repeated ids included. Columns
+    named in keep come along, between t and base.
     """
     model = model or fit(docs.sparkSession)
     base = "array_sort(concat(" + ", ".join(spans(k, p, g, VALID[k]) for k, (p, g) in BASE.items()) + "))"
@@ -236,17 +237,17 @@ def detect(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     free = f"filter({scored}, z -> z.o >= {least}[z.k] and not exists(base, b -> b.s < z.e and z.s < b.e))"
     best = "filter(d, z -> not exists(d, b -> b.s < z.e and z.s < b.e and (b.o > z.o or (b.o = z.o and (b.s < z.s or (b.s = z.s and b.k < z.k))))))"
     plain = "named_struct('s', z.s, 'k', z.k, 'e', z.e, 'm', z.m)"
-    step = only(docs, ("doc_id", "bigint"), ("text", "string")).select("doc_id", F.expr("coalesce(text, '')").alias("t"))
-    step = step.select("doc_id", "t", F.expr(base).alias("base"), F.expr(candidates()).alias("c"))
-    step = step.select("doc_id", "t", "base", F.expr(f"if(size(c) = 0, null, {free})").alias("d"))
-    return step.select("doc_id", "t", "base", F.expr(f"if(d is null or size(d) = 0, base, array_sort(concat(base, transform({best}, z -> {plain}))))").alias("spans"))
+    step = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), *keep)
+    step = step.select("doc_id", "t", *keep, F.expr(base).alias("base"), F.expr(candidates()).alias("c"))
+    step = step.select("doc_id", "t", *keep, "base", F.expr(f"if(size(c) = 0, null, {free})").alias("d"))
+    return step.select("doc_id", "t", *keep, "base", F.expr(f"if(d is null or size(d) = 0, base, array_sort(concat(base, transform({best}, z -> {plain}))))").alias("spans"))
 
 
-def redacted(found: DataFrame) -> DataFrame:
+def redacted(found: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(doc_id, text, n_spans): the spans' text replaced by [KIND]; of overlapping spans the first names the kind."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     fold = f"aggregate(spans, named_struct('pos', 0, 'out', ''), (a, z) -> named_struct('pos', greatest(a.pos, z.e), 'out', if(z.s >= a.pos, concat(a.out, substring(t, a.pos + 1, z.s - a.pos), {names}[z.k]), a.out)), a -> concat(a.out, substring(t, a.pos + 1, length(t) - a.pos)))"
-    return found.select("doc_id", F.expr(f"if(size(spans) = 0, t, {fold})").alias("text"), F.size("spans").alias("n_spans"))
+    return found.select("doc_id", *keep, F.expr(f"if(size(spans) = 0, t, {fold})").alias("text"), F.size("spans").alias("n_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
