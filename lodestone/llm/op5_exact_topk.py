@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.repeats import rows_of
 from lodestone.llm.common import in_rows, prepare, read_table, stored
 
-PIVOTS = 32
-ANNULI = 8  # per pivot
+PIVOTS = 16
+ANNULI = 4  # per pivot
 SAMPLE = 4096  # rows that pivots and annuli are fitted on
 BLOCK = 1024  # vectors in a block of the index
 ASKED = 256  # queries in a block of queries
@@ -34,6 +34,17 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy().astype(np.int64).reshape(-1, dim)
 
 
+def packed(v: np.ndarray) -> bytes:
+    """Whole numbers in the smallest type that holds them."""
+    most = int(np.abs(v).max(initial=0))
+    kind = "b" if most < 1 << 15 else "i" if most < 1 << 31 else "q"
+    return kind.encode() + v.astype({"b": "<i2", "i": "<i4", "q": "<i8"}[kind]).tobytes()
+
+
+def unpacked(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, {b"b": "<i2", b"i": "<i4", b"q": "<i8"}[raw[:1]], offset=1).astype(np.int64).reshape(-1, dim)
+
+
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer inner products; by doubles where these are exact."""
     most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, x.shape[1])
@@ -115,7 +126,7 @@ def build(vectors: DataFrame, index: Index, dim: int) -> DataFrame:
             order = np.argsort(d, kind="stable")
             for at in range(0, len(ids), BLOCK):
                 m = order[at : at + BLOCK]
-                yield in_rows([{"cell": cell, "sub": task + n, "ids": ids[m].tobytes(), "v": v[m].tobytes(), "n": len(m), "low": float(d[m[0]]), "high": float(d[m[-1]])}], INDEX)
+                yield in_rows([{"cell": cell, "sub": task + n, "ids": ids[m].tobytes(), "v": packed(v[m]), "n": len(m), "low": float(d[m[0]]), "high": float(d[m[-1]])}], INDEX)
                 n += 1
 
         for b in batches:
@@ -132,8 +143,39 @@ def build(vectors: DataFrame, index: Index, dim: int) -> DataFrame:
     return vectors.mapInArrow(make, INDEX_DDL)
 
 
-ASK = pa.schema([("cell", pa.int32()), ("best", pa.float64()), ("asked", pa.int64()), ("qids", pa.binary()), ("q", pa.binary()), ("bound", pa.binary())])
-ASK_DDL = "cell int, best double, asked bigint, qids binary, q binary, bound binary"
+def in_blocks(queries: DataFrame, index: Index, dim: int) -> DataFrame:
+    """Queries in blocks of ASKED, neighbours in the index side by side."""
+
+    def make(batches):
+        from pyspark import TaskContext
+
+        task, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def out():
+            nonlocal n
+            ids, v, cell = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(cell, kind="stable")
+            for at in range(0, len(ids), ASKED):
+                m = order[at : at + ASKED]
+                yield in_rows([{"sub": task + n, "ids": ids[m].tobytes(), "v": packed(v[m])}], BLOCKED)
+                n += 1
+
+        for b in batches:
+            v = matrix(b.column(1), dim)
+            held.append((b.column(0).to_numpy(), v, index.cells(v)[0]))
+            size += len(v)
+            if size >= 128 * ASKED:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    return queries.mapInArrow(make, "sub bigint, ids binary, v binary")
+
+
+BLOCKED = pa.schema([("sub", pa.int64()), ("ids", pa.binary()), ("v", pa.binary())])
+ASK = pa.schema([("cell", pa.int32()), ("asked", pa.int64()), ("qids", pa.binary()), ("q", pa.binary()), ("bound", pa.binary())])
+ASK_DDL = "cell int, asked bigint, qids binary, q binary, bound binary"
 
 
 def merged(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -150,19 +192,19 @@ FOUND_DDL = "query_id bigint, vec_id bigint, score bigint"
 
 
 def compare(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of queries against blocks of the index, best bound first; a query whose k-th score beats the bound is left out."""
+    """Blocks of queries against blocks of the index; a query whose k-th score so far beats the bound is left out."""
     held: dict[int, tuple] = {}
     for r in rows_of(batches):
-        qids, q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["q"], np.int64).reshape(-1, dim)
+        qids, q = np.frombuffer(r["qids"], np.int64), unpacked(r["q"], dim)
         old = held.get(r["asked"])
-        if old and len(old[0]):  # best bounds come first: what can't reach a query's k-th score so far is over for it
+        if old and len(old[0]):  # what can't reach a query's k-th score so far is over for it
             at = np.searchsorted(old[0], qids, "right") - 1
             full = (at >= k - 1) & (old[0][np.maximum(at - k + 1, 0)] == qids) & (old[0][np.maximum(at, 0)] == qids)
             go = ~full | (np.frombuffer(r["bound"], np.float64) >= old[2][np.maximum(at, 0)])
             if not go.any():
                 continue
             qids, q = qids[go], q[go]
-        ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"], np.int64).reshape(-1, dim)
+        ids, v = np.frombuffer(r["ids"], np.int64), unpacked(r["v"], dim)
         s = scores(v, q)
         s_ok = qids[None, :] != ids[:, None]
         kth = min(k, len(ids))
@@ -192,8 +234,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     The index is fitted on a bounded sample and holds every row. A query first
     sees the annulus that it falls into; its k-th score there is a floor. Then
-    the annuli are taken by their bound, best first, and those whose bound is
-    under the floor aren't read. Neither side is collected: blocks of queries meet
+    the annuli whose bound reaches the floor are taken; the others aren't read. Neither side is collected: blocks of queries meet
     blocks of the index, and the driver sees a few numbers a cell.
     """
     spark = prepare(vectors.sparkSession)
@@ -209,21 +250,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     stock = stored(build(vectors.select("vec_id", "v"), index, dim))
     cells = stock.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("cell").collect()  # at most PIVOTS * ANNULI rows
     cell, low, high = (np.array([r[i] for r in cells], t) for i, t in ((0, np.int64), (1, np.float64), (2, np.float64)))
-    ask = stored(build(queries.select("vec_id", "v"), index, dim).select("sub", "ids", "v"))
+    ask = stored(in_blocks(queries.select("vec_id", "v"), index, dim))
 
     def send(r: dict, cols: list, bound: np.ndarray, of: np.ndarray) -> list[dict]:
-        q, ids = np.frombuffer(r["v"], np.int64).reshape(-1, dim), np.frombuffer(r["ids"], np.int64)
+        q, ids = unpacked(r["v"], dim), np.frombuffer(r["ids"], np.int64)
         out = []
-        for at in range(0, len(ids), ASKED):
-            for c in cols:
-                m = np.flatnonzero(of[at : at + ASKED, c]) + at
-                if len(m):
-                    out.append({"cell": int(cell[c]), "best": float(bound[m, c].max()), "asked": r["sub"] * 8 + at // ASKED, "qids": ids[m].tobytes(), "q": q[m].tobytes(), "bound": bound[m, c].tobytes()})
+        for c in cols:
+            m = np.flatnonzero(of[:, c])
+            if len(m):
+                out.append({"cell": int(cell[c]), "asked": r["sub"], "qids": ids[m].tobytes(), "q": packed(q[m]), "bound": bound[m, c].tobytes()})
         return out
 
     def home(batches):
         for r in rows_of(batches):
-            bound = index.bounds(np.frombuffer(r["v"], np.int64).reshape(-1, dim), cell, low, high)
+            bound = index.bounds(unpacked(r["v"], dim), cell, low, high)
             of = np.zeros(bound.shape, bool)
             of[np.arange(len(of)), bound.argmax(axis=1)] = True
             yield in_rows(send(r, range(len(cell)), bound, of), ASK)
@@ -231,13 +271,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def rest(batches):
         for r in rows_of(batches):
             ids, floor = np.frombuffer(r["ids"], np.int64), {x["query_id"]: x["floor"] for x in r["floors"] or []}
-            bound = index.bounds(np.frombuffer(r["v"], np.int64).reshape(-1, dim), cell, low, high)
+            bound = index.bounds(unpacked(r["v"], dim), cell, low, high)
             need = np.array([floor.get(i, -np.inf) for i in ids.tolist()])
             yield in_rows(send(r, range(len(cell)), bound, bound >= need[:, None]), ASK)
 
     def met(asked: DataFrame) -> DataFrame:
         both = asked.join(stock.select("cell", "ids", F.col("v"), "n"), "cell")
-        return both.sortWithinPartitions(F.desc("best")).select("asked", "qids", "q", "bound", "ids", "v").mapInArrow(lambda b: compare(b, dim, k), FOUND_DDL)
+        return both.select("asked", "qids", "q", "bound", "ids", "v").mapInArrow(lambda b: compare(b, dim, k), FOUND_DDL)
 
     first = met(ask.mapInArrow(home, ASK_DDL))
     ranked = lambda f: f.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
