@@ -6,6 +6,8 @@ again after an executor is lost gives the same rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 C1, C2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +62,13 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system: workers are reused, by other operators too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow
 
 
@@ -85,6 +94,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
             to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 # ---------------------------------------------------------------- hashing

@@ -25,7 +25,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The tokenizer's own split of a chunk without white space, for letters that lower() maps one to one.
 PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+\Z")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-CACHED = 300_000
+CACHED = 120_000
 
 
 class WordTokens:

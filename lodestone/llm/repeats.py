@@ -42,10 +42,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, bucketed, in_rows, mix, n_shuffle, only, pieces, prepare, runs, slots, stored, utf8
+from lodestone.llm.common import U64, bucketed, in_rows, mix, n_shuffle, only, pieces, prepare, runs, slots, stored, trim, utf8
 
 FLUSH = 1 << 20  # names that a task gathers before it sends them
-BLOCK = 2 << 20  # bytes of text in a block
+BLOCK = 1 << 20  # bytes of text in a block
 POS = U64(26)  # low bits of a trigger's key that hold its place: a document has under 2^26 symbols more than a block
 
 
@@ -75,11 +75,14 @@ def shape(length: int, gram: int, chunk: int) -> Shape:
 # ---------------------------------------------------------------- names
 
 
-def tables(sym: np.ndarray, top: int) -> list[np.ndarray]:
-    """tables[j][i]: name of the 2^j symbols from i."""
-    out = [sym]
-    while (k := 1 << (len(out) - 1)) * 2 <= top and len(out[-1]) > k:
-        out.append(mix(out[-1][:-k], out[-1][k:], len(out)))
+def tables(sym: np.ndarray, *lengths: int) -> list[np.ndarray | None]:
+    """[j][i]: name of the 2^j symbols from i. Kept for the levels that the lengths need: each length alone, or if there are two negative ones all from -a to -b."""
+    level = lambda n: abs(n).bit_length() - 1
+    keep = set(range(level(lengths[0]), level(lengths[1]) + 1)) if min(lengths) < 0 else set(map(level, lengths))
+    out, last = [sym if 0 in keep else None], sym
+    while len(out) <= max(keep) and len(last) > (k := 1 << (len(out) - 1)):
+        last = mix(last[:-k], last[k:], len(out))
+        out.append(last if len(out) in keep else None)
     return out
 
 
@@ -103,7 +106,7 @@ def triggers(sym: np.ndarray, off: np.ndarray, s: Shape) -> tuple[np.ndarray, ..
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
     if n < s.length:
         return none
-    tabs = tables(sym, max(s.gram, s.seed))
+    tabs = tables(sym, s.gram, s.seed)
     key = named(tabs, np.arange(n - s.gram + 1), s.gram)
     key >>= POS
     key <<= POS
@@ -146,7 +149,7 @@ def extended(sym: np.ndarray, off: np.ndarray, meta: np.ndarray, s: Shape) -> tu
     lo = at - ((meta >> U64(14)) & U64(0x3FFF)).astype(np.int64)
     hi = at - (meta & U64(0x3FFF)).astype(np.int64)
     sub, noff, shift, doc = cut(sym, off, at)
-    tabs = tables(sub, s.length + s.reach)
+    tabs = tables(sub, -(s.length - s.chunk), -(s.length + s.reach))
     p = at + shift
     start, end = np.maximum(p - (s.reach - 1), noff[doc]), np.minimum(p + s.length, noff[doc + 1])
     whole = mix(named(tabs, start, end - start), (p - start).astype(U64), 500)
@@ -216,6 +219,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
+    trim()
 
 
 # ---------------------------------------------------------------- one round: names out, repeated ones back
