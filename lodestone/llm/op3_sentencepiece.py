@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import prepare, read_table
+from lodestone.llm.common import bucketed, only, pieces, prepare, read_table, runs, stored
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = 10.0  # fixed value: how far below the least score an unknown character is
 MARK = "▁"
+WORD = regex.compile(f"{MARK}+[^{MARK}]*")
+CACHE = 1 << 17  # different words that a task keeps
+COMMON_BYTES = 16 << 20  # of parts and their ids that are sent to all tasks
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
@@ -26,51 +35,179 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, kind string, hex string").coalesce(1)
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, words): the text with blanks as marks and one in front, cut before each run of marks. No piece has a mark after another character, so cuts lose nothing."""
-    t = F.concat(F.lit(MARK), F.replace(F.col("text").cast("string"), F.lit(" "), F.lit(MARK)))
-    words = F.when(F.length("text") > 0, F.split(t, f"(?<=[^{MARK}])(?={MARK})")).otherwise(F.array().cast("array<string>"))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words"))
+def cutter(pieces: list[str]) -> regex.Pattern:
+    """Where a word may be cut: between classes of characters (letters, digits, others) that no piece has side by side, never after a mark."""
+    kinds = {"l": r"\p{L}", "d": "[0-9]", "o": rf"[^\p{{L}}0-9{MARK}]"}
+    met = set()
+    for p in pieces:
+        k = regex.sub(kinds["o"], ".", regex.sub(r"\p{L}", "l", regex.sub("[0-9]", "0", p)))
+        met |= set(zip(k, k[1:]))
+    sign = {"l": "l", "d": "0", "o": "."}
+    cuts = [f"(?<={kinds[x]})(?={kinds[y]})" for x in kinds for y in kinds if (sign[x], sign[y]) not in met]
+    return regex.compile("|".join(cuts) or "(?!)")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The text with blanks as marks and one in front, cut before each run of marks. No piece has a mark after another character, so cuts lose nothing."""
+    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def parts_of(docs: DataFrame, cut: regex.Pattern) -> DataFrame:
+    """(part, n): the different parts of words and how often they come up; added up by task first."""
+
+    def make(batches):
+        seen: Counter = Counter()
+
+        def flush():
+            out: Counter = Counter()
+            for w, n in seen.items():
+                for p in cut.split(w):
+                    out[p] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["part", "n"])
+
+        for b in pieces(batches, "text", 1 << 20):
+            for t in b.column(0).to_pylist():
+                seen.update(words_of(t))
+            if len(seen) > CACHE:
+                yield flush()
+        if seen:
+            yield flush()
+
+    return only(docs, ("text", "string")).mapInArrow(make, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids): the segmentation with the largest sum of scores, ties to the longer first piece from the right.
+    """(part, n, ids) from (part, n): the segmentation with the largest sum of scores, ties to the longer last piece.
 
     Substrings up to the longest piece are exploded and joined to the piece
-    table, which is broadcast; edges are grouped by word without a shuffle, as
-    the words are dealt by word already. The fold keeps the best path to each
-    place. A character that is no piece has an edge of the least score less
-    UNKNOWN, and becomes bytes.
+    table, which is broadcast (its size is the vocabulary's); edges are grouped
+    by part without a shuffle, as parts are dealt by themselves already. The fold
+    goes over the edges by their ends and keeps the best path to each of the
+    last places that a piece can start from. A character that is no piece has an
+    edge of the least score less UNKNOWN, and becomes bytes.
     """
-    usual = pieces.where("kind = 'n'").select("piece", "id", "score", F.length("piece").alias("n"))
-    longest, least = usual.agg(F.max("n"), F.min("score")).first()
+    usual = pieces.where("kind = 'n'").select("piece", "id", "score", F.length("piece").alias("m"))
+    longest, least = usual.agg(F.max("m"), F.min("score")).first()
     byte_ids = [r.id for r in pieces.where("kind = 'b'").orderBy("hex").collect()]
-    at = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    cut = at.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("n"))
-    cut = cut.select("word", "s", "n", F.col("word").substr(F.col("s"), F.col("n")).alias("piece"))
-    met = cut.join(F.broadcast(usual.drop("n")), "piece", "left").where("id is not null or n = 1")
+    at = words.select("part", "n", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
+    cut = at.select("part", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("m"))
+    cut = cut.select("part", "n", "s", "m", F.col("part").substr(F.col("s"), F.col("m")).alias("piece"))
+    met = cut.join(F.broadcast(usual.drop("m")), "piece", "left").where("id is not null or m = 1")
     table = F.array(*[F.lit(i) for i in byte_ids])
     raw = F.hex(F.encode("piece", "UTF-8"))
     as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.get(table, F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-    edge = F.struct((F.col("s") + F.col("n") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("w"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"))
-    edges = met.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    best = """aggregate(sequence(1, length(word)), array(named_struct('w', 0.0D, 'm', 0, 'ids', cast(array() as array<int>))),
-        (a, j) -> array_append(a, array_max(transform(filter(edges, x -> x.e = j), x -> named_struct('w', a[x.s].w + x.w, 'm', -x.s, 'ids', concat(a[x.s].ids, x.ids))))),
-        a -> a[length(word)].ids)"""
-    return edges.select("word", F.expr(best).alias("ids"))
-
-
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    edge = F.struct((F.col("s") + F.col("m") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("w"), "id", F.when(F.col("id").isNull(), as_bytes).alias("raw"))
+    edges = met.groupBy("part").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    step = "named_struct('e', x.e, 'w', a[x.s - a[0].e].w + x.w, 'ids', concat(a[x.s - a[0].e].ids, coalesce(x.raw, array(x.id))))"
+    best = f"""aggregate(edges, array(named_struct('e', 0, 'w', 0.0D, 'ids', cast(array() as array<int>))),
+        (a, x) -> CASE WHEN a[size(a) - 1].e < x.e THEN array_append(IF(size(a) > {longest}, slice(a, 2, {longest}), a), {step})
+                       WHEN a[size(a) - 1].w < a[x.s - a[0].e].w + x.w THEN array_append(slice(a, 1, size(a) - 1), {step})
+                       ELSE a END,
+        a -> a[size(a) - 1].ids)"""
+    return edges.select("part", "n", F.expr(best).alias("ids"))
+
+
+def lexicon(docs: DataFrame, table: DataFrame, cut: regex.Pattern) -> DataFrame:
+    """The lattice of all parts of docs, stored. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
+    spark = docs.sparkSession
+    key = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return stored(lattice(parts_of(docs, cut), table))
+    finally:
+        spark.conf.set(key, before)
+
+
+def frequent(found: DataFrame, room: int = COMMON_BYTES) -> dict[str, list[int]]:
+    """The most frequent parts, of 64 characters at most, as many classes of like frequency as take `room` bytes together."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    some = found.where("length(part) <= 64").withColumn("level", level)
+    sizes = some.groupBy("level").agg(F.sum(F.octet_length("part") + F.size("ids") * 4 + 16).alias("b")).orderBy(F.desc("level")).collect()
+    least = None
+    for r in sizes:
+        room -= r.b
+        if room < 0:
+            break
+        least = r.level
+    if least is None:
+        return {}
+    rows = some.where(F.col("level") >= least).select("part", "ids").toArrow()
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+
+
+def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> DataFrame:
     """(doc_id, ids) for each row of docs. Null and empty texts have no pieces; null and repeated ids are rows like others.
 
-    Each different word is encoded once. The time for a word grows with the square of its length.
+    Each different part of a word is encoded once, by the lattice. The most frequent
+    parts, up to `room` bytes, are sent to all tasks and put into the texts at once;
+    the others leave holes, and meet the lexicon in a join. As frequent parts take
+    no part in that join, none of its keys is hot, but for parts of over 64
+    characters, which are left to adaptive skew joins. Coded texts are stored
+    once, bucketed by row, and aren't moved again.
     """
     spark = prepare(docs.sparkSession)
-    rows = words_of(docs)
-    lexicon = lattice(rows.select(F.explode("words").alias("word")).distinct(), piece_table(spark, model))
-    tokens = rows.select("row", F.posexplode("words").alias("pos", "word")).join(lexicon, "word")
-    ids = tokens.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.select("row", "doc_id").join(ids, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    table = piece_table(spark, model)
+    cut = cutter([r.piece for r in table.where("kind = 'n'").select("piece").collect()])
+    kind = np.dtype("<u2" if table.count() < 0xFFFF else "<u4")
+    hole = int(np.iinfo(kind).max)
+    found = lexicon(docs, table, cut)
+    common = spark.sparkContext.broadcast({p: np.array(i, kind).tobytes() for p, i in frequent(found, room).items()})
+    mark = hole.to_bytes(kind.itemsize, "little")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("code", pa.binary()), ("rare", pa.list_(pa.string()))])
+
+    def code(batches):
+        known, cache, holes = common.value, {}, {}
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def put(w):
+            parts = cut.split(w)
+            out = b"".join([known.get(p, mark) for p in parts])
+            rare = [p for p in parts if p not in known]
+            if len(cache) > CACHE:
+                cache.clear()
+                holes.clear()
+            if rare:
+                holes[w] = rare
+            cache[w] = out
+
+        for b in pieces(batches, "text", 1 << 20):
+            codes, rares = [], []
+            for t in b.column(2).to_pylist():
+                out, rare = [], []
+                for w in words_of(t):
+                    if w not in cache:
+                        put(w)
+                    out.append(cache[w])
+                    if w in holes:
+                        rare += holes[w]
+                raw = np.frombuffer(b"".join(out), np.uint8)
+                codes.append(pack.compress(raw.reshape(-1, kind.itemsize).T.tobytes()))
+                rares.append(rare)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(rares, schema.field(3).type)], schema=schema)
+
+    def fill(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = [np.frombuffer(unpack.decompress(c), np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel() for c in b.column(1).to_pylist()]
+            off, ids = runs(np.array([len(t) for t in texts])), np.concatenate(texts).astype(np.int32)
+            gaps = b.column(2).flatten()
+            size = np.ones(len(ids), np.int64)
+            empty = ids == hole
+            size[empty] = np.diff(np.asarray(gaps.offsets)) if len(gaps) else 0
+            whole = np.repeat(ids, size)
+            whole[np.repeat(empty, size)] = gaps.flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(runs(size)[off].astype(np.int32)), pa.array(whole))], names=["doc_id", "ids"])
+
+    numbered = only(docs, ("doc_id", "bigint"), ("text", "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    coded = bucketed(numbered.mapInArrow(code, "row bigint, doc_id bigint, code binary, rare array<string>"), "row")
+    rare = coded.select("row", F.posexplode("rare").alias("pos", "part")).join(found.select("part", "ids"), "part")
+    gaps = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("gaps"))
+    whole = coded.select("row", "doc_id", "code").join(gaps, "row", "left").select("doc_id", "code", F.coalesce("gaps", F.array().cast("array<array<int>>")).alias("gaps"))
+    return whole.mapInArrow(fill, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
