@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bucketed, only, pieces, prepare, read_table, runs, stored
+from lodestone.llm.common import bucketed, only, pieces, prepare, read_table, runs
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = 10.0  # fixed value: how far below the least score an unknown character is
 MARK = "▁"
-WORD = regex.compile(f"{MARK}+[^{MARK}]*")
-CACHE = 1 << 17  # different words that a task keeps
-COMMON_BYTES = 16 << 20  # of parts and their ids that are sent to all tasks
+WORD = re.compile(f"{MARK}+[^{MARK}]*")
+CACHE = 1 << 16  # different words that a task keeps
+COMMON_BYTES = 32 << 20  # of parts and their ids that are sent to all tasks
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
@@ -35,43 +37,66 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, kind string, hex string").coalesce(1)
 
 
-def cutter(pieces: list[str]) -> regex.Pattern:
-    """Where a word may be cut: between classes of characters (letters, digits, others) that no piece has side by side, never after a mark."""
-    kinds = {"l": r"\p{L}", "d": "[0-9]", "o": rf"[^\p{{L}}0-9{MARK}]"}
-    met = set()
-    for p in pieces:
-        k = regex.sub(kinds["o"], ".", regex.sub(r"\p{L}", "l", regex.sub("[0-9]", "0", p)))
-        met |= set(zip(k, k[1:]))
-    sign = {"l": "l", "d": "0", "o": "."}
-    cuts = [f"(?<={kinds[x]})(?={kinds[y]})" for x in kinds for y in kinds if (sign[x], sign[y]) not in met]
-    return regex.compile("|".join(cuts) or "(?!)")
+def cutter(pieces: list[str]) -> Callable[[str], list[str]]:
+    """Cuts a word between characters of different classes (letters, digits, others), or of one class, that no piece has side by side.
+
+    Never after a mark. Where any piece holds two classes in a row, they count as
+    one; a character of a doubtful class is only cut off less often than it could be.
+    """
+    odd = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))
+    kinds = {"l": rf"[^\W\d_{odd}]", "d": "[0-9]", "o": rf"(?![0-9{MARK}])[\W\d_{odd}]"}
+    kind = lambda c: "m" if c == MARK else next(k for k in kinds if re.match(kinds[k], c))
+    met = {(kind(x), kind(y)) for x, y in {xy for p in pieces for xy in zip(p, p[1:])}} - {("m", k) for k in "mldo"}
+    group = {k: {k} for k in kinds}
+    for x, y in met:
+        both = group[x] | group[y]
+        group |= dict.fromkeys(both, both)
+    runs_of = [f"(?:{'|'.join(kinds[k] for k in sorted(g))}){'+' if len(g) > 1 or (min(g), min(g)) in met else ''}" for g in {id(g): g for g in group.values()}.values()]
+    return re.compile(f"{MARK}*(?:{'|'.join(runs_of)})|{MARK}+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """The text with blanks as marks and one in front, cut before each run of marks. No piece has a mark after another character, so cuts lose nothing."""
-    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The words of a text, in each of which blanks are marks; one mark goes in front of each word.
+
+    The text with a mark in front, cut before each run of marks, less the first
+    mark of each: no piece has a mark after another character, so cuts lose nothing.
+    """
+    if not text:
+        return []
+    if MARK not in text and "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return [w[1:] for w in WORD.findall(MARK + text.replace(" ", MARK))]
 
 
-def parts_of(docs: DataFrame, cut: regex.Pattern) -> DataFrame:
+def parts_of(docs: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
     """(part, n): the different parts of words and how often they come up; added up by task first."""
 
     def make(batches):
-        seen: Counter = Counter()
+        seen, out = Counter(), Counter()
 
-        def flush():
-            out: Counter = Counter()
+        def part():
             for w, n in seen.items():
-                for p in cut.split(w):
-                    out[p] += n
+                if w.isalpha():
+                    out[MARK + w] += n
+                else:
+                    for p in cut(MARK + w):
+                        out[p] += n
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["part", "n"])
+
+        def flush():
+            names, n = pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())
+            out.clear()
+            return pa.RecordBatch.from_arrays([names, n], names=["part", "n"])
 
         for b in pieces(batches, "text", 1 << 20):
             for t in b.column(0).to_pylist():
                 seen.update(words_of(t))
             if len(seen) > CACHE:
+                part()
+            if len(out) > 4 * CACHE:
                 yield flush()
-        if seen:
+        part()
+        if out:
             yield flush()
 
     return only(docs, ("text", "string")).mapInArrow(make, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
@@ -108,19 +133,39 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return edges.select("part", "n", F.expr(best).alias("ids"))
 
 
-def lexicon(docs: DataFrame, table: DataFrame, cut: regex.Pattern) -> DataFrame:
-    """The lattice of all parts of docs, stored. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
+def lexicon(docs: DataFrame, table: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
+    """The lattice of all parts of docs, stored in buckets by part. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
     spark = docs.sparkSession
     key = "spark.sql.execution.useObjectHashAggregateExec"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
     try:
-        return stored(lattice(parts_of(docs, cut), table))
+        return bucketed(lattice(parts_of(docs, cut), table), "part")
     finally:
         spark.conf.set(key, before)
 
 
-def frequent(found: DataFrame, room: int = COMMON_BYTES) -> dict[str, list[int]]:
+class Table:
+    """Parts and their codes, a few arrays in place of many objects: found by a hash, then compared."""
+
+    def __init__(self, parts: list[str], codes: list[bytes]):
+        names = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
+        order = np.argsort(names, kind="stable").tolist()
+        self.names = names[order]
+        self.text, self.code = "".join([parts[i] for i in order]), b"".join([codes[i] for i in order])
+        self.text_off, self.code_off = runs(np.array([len(parts[i]) for i in order], np.int64)), runs(np.array([len(codes[i]) for i in order], np.int64))
+
+    def find(self, parts: list[str]) -> dict[str, bytes]:
+        """The codes of those parts that it has."""
+        if not len(self.names):
+            return {}
+        at = np.minimum(np.searchsorted(self.names, np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)), len(self.names) - 1)
+        t0, t1, c0, c1 = (x.tolist() for x in (self.text_off[at], self.text_off[at + 1], self.code_off[at], self.code_off[at + 1]))
+        text, code = self.text, self.code
+        return {p: code[c:d] for p, a, b, c, d in zip(parts, t0, t1, c0, c1) if text[a:b] == p}
+
+
+def frequent(found: DataFrame, kind: np.dtype, room: int = COMMON_BYTES) -> Table:
     """The most frequent parts, of 64 characters at most, as many classes of like frequency as take `room` bytes together."""
     level = F.floor(F.log2("n") * 16).cast("int")
     some = found.where("length(part) <= 64").withColumn("level", level)
@@ -131,10 +176,8 @@ def frequent(found: DataFrame, room: int = COMMON_BYTES) -> dict[str, list[int]]
         if room < 0:
             break
         least = r.level
-    if least is None:
-        return {}
-    rows = some.where(F.col("level") >= least).select("part", "ids").toArrow()
-    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    rows = some.where(F.col("level") >= least if least is not None else F.lit(False)).select("part", "ids").toArrow()
+    return Table(rows.column(0).to_pylist(), [np.array(i, kind).tobytes() for i in rows.column(1).to_pylist()])
 
 
 def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> DataFrame:
@@ -153,39 +196,32 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     kind = np.dtype("<u2" if table.count() < 0xFFFF else "<u4")
     hole = int(np.iinfo(kind).max)
     found = lexicon(docs, table, cut)
-    common = spark.sparkContext.broadcast({p: np.array(i, kind).tobytes() for p, i in frequent(found, room).items()})
+    common = spark.sparkContext.broadcast(frequent(found, kind, room))
     mark = hole.to_bytes(kind.itemsize, "little")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("code", pa.binary()), ("rare", pa.list_(pa.string()))])
 
     def code(batches):
         known, cache, holes = common.value, {}, {}
         pack = zstandard.ZstdCompressor(level=3)
-
-        def put(w):
-            parts = cut.split(w)
-            out = b"".join([known.get(p, mark) for p in parts])
-            rare = [p for p in parts if p not in known]
+        for b in pieces(batches, "text", 1 << 20):
+            texts = [words_of(t) for t in b.column(2).to_pylist()]
             if len(cache) > CACHE:
                 cache.clear()
                 holes.clear()
-            if rare:
-                holes[w] = rare
-            cache[w] = out
-
-        for b in pieces(batches, "text", 1 << 20):
-            codes, rares = [], []
-            for t in b.column(2).to_pylist():
-                out, rare = [], []
-                for w in words_of(t):
-                    if w not in cache:
-                        put(w)
-                    out.append(cache[w])
-                    if w in holes:
-                        rare += holes[w]
-                raw = np.frombuffer(b"".join(out), np.uint8)
-                codes.append(pack.compress(raw.reshape(-1, kind.itemsize).T.tobytes()))
-                rares.append(rare)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(rares, schema.field(3).type)], schema=schema)
+            new = [w for w in set().union(*texts) if w not in cache]
+            cuts = [[MARK + w] if w.isalpha() else cut(MARK + w) for w in new]
+            codes = known.find(list({p for parts in cuts for p in parts}))
+            for w, parts in zip(new, cuts):
+                cache[w] = b"".join([codes.get(p, mark) for p in parts])
+                rare = [p for p in parts if p not in codes]
+                if rare:
+                    holes[w] = rare
+            packed, rares = [], []
+            for t in texts:
+                raw = np.frombuffer(b"".join([cache[w] for w in t]), np.uint8)
+                packed.append(pack.compress(raw.reshape(-1, kind.itemsize).T.tobytes()))
+                rares.append([p for w in t if w in holes for p in holes[w]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(rares, schema.field(3).type)], schema=schema)
 
     def fill(batches):
         unpack = zstandard.ZstdDecompressor()
