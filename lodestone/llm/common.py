@@ -48,10 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, codec: str = "snappy") -> DataFrame:
     """df as Parquet in the shared folder, bucketed: later joins on key move the other side alone."""
     spark, name, path = df.sparkSession, f"b_{uuid.uuid4().hex}", scratch(df.sparkSession)
-    df.write.bucketBy(n_shuffle(spark), key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(n_shuffle(spark), key).option("path", path).option("compression", codec).saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {name}")

@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bucketed, only, pieces, prepare, read_table, runs
+from lodestone.llm.common import C1, POSITION, bucketed, mix, only, pieces, prepare, read_table, runs, utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = 10.0  # fixed value: how far below the least score an unknown character is
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE = 1 << 16  # different words that a task keeps
+BLOCK = 1 << 20  # bytes of text, or characters, that are worked on at once
+STEP = 1 << 15  # characters whose numbers stay in a processor's cache
 COMMON_BYTES = 32 << 20  # of parts and their ids that are sent to all tasks
 
 
@@ -37,67 +35,103 @@ def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, kind string, hex string").coalesce(1)
 
 
-def cutter(pieces: list[str]) -> Callable[[str], list[str]]:
-    """Cuts a word between characters of different classes (letters, digits, others), or of one class, that no piece has side by side.
+class Cutter:
+    """Cuts texts, in which blanks are marks and one more goes in front, between characters of different classes (letters, digits, others), or of one class, that no piece has side by side.
 
-    Never after a mark. Where any piece holds two classes in a row, they count as
-    one; a character of a doubtful class is only cut off less often than it could be.
+    Also before each run of marks, as no piece has a mark after another character,
+    but never after a mark. Where any piece holds two classes in a row, they count
+    as one; a character of a doubtful class is only cut off less often than it
+    could be. Null and empty texts have no parts.
     """
-    odd = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))
-    kinds = {"l": rf"[^\W\d_{odd}]", "d": "[0-9]", "o": rf"(?![0-9{MARK}])[\W\d_{odd}]"}
-    kind = lambda c: "m" if c == MARK else next(k for k in kinds if re.match(kinds[k], c))
-    met = {(kind(x), kind(y)) for x, y in {xy for p in pieces for xy in zip(p, p[1:])}} - {("m", k) for k in "mldo"}
-    group = {k: {k} for k in kinds}
-    for x, y in met:
-        both = group[x] | group[y]
-        group |= dict.fromkeys(both, both)
-    runs_of = [f"(?:{'|'.join(kinds[k] for k in sorted(g))}){'+' if len(g) > 1 or (min(g), min(g)) in met else ''}" for g in {id(g): g for g in group.values()}.values()]
-    return re.compile(f"{MARK}*(?:{'|'.join(runs_of)})|{MARK}+").findall
-
-
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, in each of which blanks are marks; one mark goes in front of each word.
-
-    The text with a mark in front, cut before each run of marks, less the first
-    mark of each: no piece has a mark after another character, so cuts lose nothing.
-    """
-    if not text:
-        return []
-    if MARK not in text and "  " not in text and text[0] != " ":
-        return text.split(" ")
-    return [w[1:] for w in WORD.findall(MARK + text.replace(" ", MARK))]
-
 
-def parts_of(docs: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
-    """(part, n): the different parts of words and how often they come up; added up by task first."""
+    def __init__(self, pieces: list[str]):
+        odd = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))
+        kinds = {"l": rf"[^\W\d_{odd}]", "d": "[0-9]", "o": rf"(?![0-9{MARK}])[\W\d_{odd}]"}
+        kind = lambda c: "m" if c == MARK else next(k for k in kinds if re.match(kinds[k], c))
+        met = {(kind(x), kind(y)) for x, y in {xy for p in pieces for xy in zip(p, p[1:])}} - {("m", k) for k in "mldo"}
+        group = {k: {k} for k in kinds}
+        for x, y in met:
+            both = group[x] | group[y]
+            group |= dict.fromkeys(both, both)
+        self.kind, self.joint = np.zeros(0x110000, np.uint8), np.zeros((4, 4), bool)
+        for i, x in enumerate(kinds, 1):
+            for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+                for m in re.finditer(f"(?:{kinds[x]})+", "".join(map(chr, range(low, high)))):
+                    self.kind[low + m.start() : low + m.end()] = i
+            for j, y in enumerate(kinds, 1):
+                self.joint[i, j] = y in group[x] and (len(group[x]) > 1 or (x, x) in met)
+        self.kind[[0x20, ord(MARK)]] = 0
+        self.joint[0] = True
+
+    def cut(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(all texts, their code points, where parts start and the last ends, the first part of each text and one past the last)."""
+        whole = "".join([MARK + t if t else "" for t in texts]).replace(" ", MARK)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        off = runs(np.array([len(t) + 1 if t else 0 for t in texts], np.int64))
+        k = self.kind[points]
+        edge = np.ones(len(points) + 1, bool)
+        edge[1:-1] = ~self.joint.ravel()[k[:-1] * 4 + k[1:]]
+        edge[off] = True
+        start = np.flatnonzero(edge)
+        return whole, points, start, np.searchsorted(start, off)
+
+    def __call__(self, text: str) -> list[str]:
+        """The parts of one text, as it stands: without a mark in front."""
+        whole, _, start, _ = self.cut([text])
+        parts = [whole[a:b] for a, b in zip(start.tolist(), start[1:].tolist())]
+        return [p for p in [parts[0][1:], *parts[1:]] if p] if parts else []
+
+
+def blocks(start: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """start in slices of about `size` characters, of whole parts, each slice with the end of its last."""
+    at = 0
+    while at < len(start) - 1:
+        to = max(at + 1, int(np.searchsorted(start, start[at] + size, "right")) - 1)
+        yield start[at : to + 1]
+        at = to
+
+
+def names_of(points: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each part. Different parts may share one: who looks names up compares the parts as well."""
+    out = [np.zeros(0, np.uint64)]
+    for s in blocks(start, STEP):
+        first, size = s[:-1], np.diff(s)
+        with np.errstate(over="ignore"):
+            v = points[s[0] : s[-1]] * C1
+            v ^= v >> np.uint64(32)
+            v *= POSITION[(np.arange(s[0], s[-1]) - np.repeat(first, size)) & (len(POSITION) - 1)]
+            v ^= v >> np.uint64(29)
+            out.append(mix(np.add.reduceat(v, first - s[0]), size.astype(np.uint64), 3))
+    return np.concatenate(out)
+
+
+def same(points: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Whether each part, of `size` characters from `start`, is what `others` has from `where`. No part is empty."""
+    if not len(size):
+        return np.zeros(0, bool)
+    first = runs(size)[:-1]
+    step = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.logical_and.reduceat(points[step + np.repeat(start, size)] == others[step + np.repeat(where, size)], first)
+
+
+def parts_of(docs: DataFrame, cutter: Cutter) -> DataFrame:
+    """(part, n): the different parts of texts and how often they come up; added up by block, then by task."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(cutter)
 
     def make(batches):
-        seen, out = Counter(), Counter()
-
-        def part():
-            for w, n in seen.items():
-                if w.isalpha():
-                    out[MARK + w] += n
-                else:
-                    for p in cut(MARK + w):
-                        out[p] += n
-            seen.clear()
-
-        def flush():
-            names, n = pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())
-            out.clear()
-            return pa.RecordBatch.from_arrays([names, n], names=["part", "n"])
-
-        for b in pieces(batches, "text", 1 << 20):
-            for t in b.column(0).to_pylist():
-                seen.update(words_of(t))
-            if len(seen) > CACHE:
-                part()
-            if len(out) > 4 * CACHE:
-                yield flush()
-        part()
-        if out:
-            yield flush()
+        for b in pieces(batches, "text", BLOCK):
+            whole, points, start, _ = shared.value.cut(b.column(0).to_pylist())
+            for s in blocks(start, BLOCK):
+                _, first, which, n = np.unique(names_of(points, s), return_index=True, return_inverse=True, return_counts=True)
+                size = np.diff(s)
+                alike = size == size[first][which]
+                alike[alike] = same(points, s[:-1][alike], size[alike], points, s[:-1][first][which][alike])
+                lone = np.flatnonzero(~alike)
+                n = np.concatenate((n - np.bincount(which[lone], minlength=len(n)), np.ones(len(lone), np.int64)))
+                at = np.concatenate((first, lone))
+                names = [whole[x:y] for x, y in zip(s[at].tolist(), s[at + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int64))], names=["part", "n"])
 
     return only(docs, ("text", "string")).mapInArrow(make, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
 
@@ -107,7 +141,8 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
 
     Substrings up to the longest piece are exploded and joined to the piece
     table, which is broadcast (its size is the vocabulary's); edges are grouped
-    by part without a shuffle, as parts are dealt by themselves already. The fold
+    by part without a shuffle, as parts are dealt by themselves already; their
+    number in the task comes first in the key, so that the sort finds its rows in order. The fold
     goes over the edges by their ends and keeps the best path to each of the
     last places that a piece can start from. A character that is no piece has an
     edge of the least score less UNKNOWN, and becomes bytes.
@@ -115,15 +150,15 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     usual = pieces.where("kind = 'n'").select("piece", "id", "score", F.length("piece").alias("m"))
     longest, least = usual.agg(F.max("m"), F.min("score")).first()
     byte_ids = [r.id for r in pieces.where("kind = 'b'").orderBy("hex").collect()]
-    at = words.select("part", "n", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
-    cut = at.select("part", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("m"))
-    cut = cut.select("part", "n", "s", "m", F.col("part").substr(F.col("s"), F.col("m")).alias("piece"))
+    at = words.select(F.monotonically_increasing_id().alias("at"), "part", "n").select("at", "part", "n", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
+    cut = at.select("at", "part", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("m"))
+    cut = cut.select("at", "part", "n", "s", "m", F.col("part").substr(F.col("s"), F.col("m")).alias("piece"))
     met = cut.join(F.broadcast(usual.drop("m")), "piece", "left").where("id is not null or m = 1")
     table = F.array(*[F.lit(i) for i in byte_ids])
     raw = F.hex(F.encode("piece", "UTF-8"))
     as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.get(table, F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     edge = F.struct((F.col("s") + F.col("m") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("w"), "id", F.when(F.col("id").isNull(), as_bytes).alias("raw"))
-    edges = met.groupBy("part").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges = met.groupBy("at", "part").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
     step = "named_struct('e', x.e, 'w', a[x.s - a[0].e].w + x.w, 'ids', concat(a[x.s - a[0].e].ids, coalesce(x.raw, array(x.id))))"
     best = f"""aggregate(edges, array(named_struct('e', 0, 'w', 0.0D, 'ids', cast(array() as array<int>))),
         (a, x) -> CASE WHEN a[size(a) - 1].e < x.e THEN array_append(IF(size(a) > {longest}, slice(a, 2, {longest}), a), {step})
@@ -133,51 +168,60 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return edges.select("part", "n", F.expr(best).alias("ids"))
 
 
-def lexicon(docs: DataFrame, table: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
-    """The lattice of all parts of docs, stored in buckets by part. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
+def lexicon(docs: DataFrame, table: DataFrame, cutter: Cutter, kind: np.dtype) -> DataFrame:
+    """(part, n, code): the lattice of all parts of docs, its ids as bytes, stored in buckets by part. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
     spark = docs.sparkSession
     key = "spark.sql.execution.useObjectHashAggregateExec"
     before = spark.conf.get(key, "true")
     spark.conf.set(key, "false")
     try:
-        return bucketed(lattice(parts_of(docs, cut), table), "part")
+        code = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2 * kind.itemsize, "0")), ""))
+        return bucketed(lattice(parts_of(docs, cutter), table).select("part", "n", code.alias("code")), "part", "zstd")
     finally:
         spark.conf.set(key, before)
 
 
 class Table:
-    """Parts and their codes, a few arrays in place of many objects: found by a hash, then compared."""
+    """Parts and their codes, a few arrays in place of many objects: found by a name, then compared."""
 
     def __init__(self, parts: list[str], codes: list[bytes]):
-        names = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
+        start = runs(np.array([len(p) for p in parts], np.int64))
+        names = names_of(np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), start)
         order = np.argsort(names, kind="stable").tolist()
-        self.names = names[order]
-        self.text, self.code = "".join([parts[i] for i in order]), b"".join([codes[i] for i in order])
-        self.text_off, self.code_off = runs(np.array([len(parts[i]) for i in order], np.int64)), runs(np.array([len(codes[i]) for i in order], np.int64))
+        self.names, self.points = names[order], np.frombuffer("".join([parts[i] for i in order]).encode("utf-32-le"), np.uint32)
+        self.start = runs(np.diff(start)[order]).astype(np.int32)
+        self.code, self.code_off = np.frombuffer(b"".join([codes[i] for i in order]), np.uint8), runs(np.array([len(codes[i]) for i in order], np.int64)).astype(np.int32)
+
+    def at(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The place of each part in the table; -1 for those that it has not."""
+        out = [np.zeros(0, np.int64)]
+        for s in blocks(start, STEP) if len(self.names) else []:
+            names, size = names_of(points, s), np.diff(s)
+            to = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            met = (self.names[to] == names) & (self.start[to + 1] - self.start[to] == size)
+            met[met] = same(points, s[:-1][met], size[met], self.points, self.start[to][met])
+            out.append(np.where(met, to, -1))
+        return np.concatenate(out) if len(self.names) else np.full(len(start) - 1, -1)
 
     def find(self, parts: list[str]) -> dict[str, bytes]:
         """The codes of those parts that it has."""
-        if not len(self.names):
-            return {}
-        at = np.minimum(np.searchsorted(self.names, np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)), len(self.names) - 1)
-        t0, t1, c0, c1 = (x.tolist() for x in (self.text_off[at], self.text_off[at + 1], self.code_off[at], self.code_off[at + 1]))
-        text, code = self.text, self.code
-        return {p: code[c:d] for p, a, b, c, d in zip(parts, t0, t1, c0, c1) if text[a:b] == p}
+        at = self.at(np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), runs(np.array([len(p) for p in parts], np.int64)))
+        return {p: self.code[self.code_off[i] : self.code_off[i + 1]].tobytes() for p, i in zip(parts, at.tolist()) if i >= 0}
 
 
-def frequent(found: DataFrame, kind: np.dtype, room: int = COMMON_BYTES) -> Table:
+def frequent(found: DataFrame, room: int = COMMON_BYTES) -> Table:
     """The most frequent parts, of 64 characters at most, as many classes of like frequency as take `room` bytes together."""
     level = F.floor(F.log2("n") * 16).cast("int")
     some = found.where("length(part) <= 64").withColumn("level", level)
-    sizes = some.groupBy("level").agg(F.sum(F.octet_length("part") + F.size("ids") * 4 + 16).alias("b")).orderBy(F.desc("level")).collect()
+    sizes = some.groupBy("level").agg(F.sum(F.octet_length("part") + F.octet_length("code") * 2 + 16).alias("b")).orderBy(F.desc("level")).collect()
     least = None
     for r in sizes:
         room -= r.b
         if room < 0:
             break
         least = r.level
-    rows = some.where(F.col("level") >= least if least is not None else F.lit(False)).select("part", "ids").toArrow()
-    return Table(rows.column(0).to_pylist(), [np.array(i, kind).tobytes() for i in rows.column(1).to_pylist()])
+    rows = some.where(F.col("level") >= least if least is not None else F.lit(False)).select("part", "code").toArrow()
+    return Table(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
 
 def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> DataFrame:
@@ -192,36 +236,30 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     """
     spark = prepare(docs.sparkSession)
     table = piece_table(spark, model)
-    cut = cutter([r.piece for r in table.where("kind = 'n'").select("piece").collect()])
-    kind = np.dtype("<u2" if table.count() < 0xFFFF else "<u4")
+    cutter = Cutter([r.piece for r in table.where("kind = 'n'").select("piece").collect()])
+    kind = np.dtype(">u2" if table.count() < 0xFFFF else ">u4")
     hole = int(np.iinfo(kind).max)
-    found = lexicon(docs, table, cut)
-    common = spark.sparkContext.broadcast(frequent(found, kind, room))
-    mark = hole.to_bytes(kind.itemsize, "little")
+    found = lexicon(docs, table, cutter, kind)
+    common = spark.sparkContext.broadcast((frequent(found, room), cutter))
+    mark = hole.to_bytes(kind.itemsize, "big")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("code", pa.binary()), ("rare", pa.list_(pa.string()))])
 
     def code(batches):
-        known, cache, holes = common.value, {}, {}
+        known, cutter = common.value
+        codes, off = np.concatenate((known.code, np.frombuffer(mark, np.uint8))), np.append(known.code_off, known.code_off[-1] + len(mark))
         pack = zstandard.ZstdCompressor(level=3)
-        for b in pieces(batches, "text", 1 << 20):
-            texts = [words_of(t) for t in b.column(2).to_pylist()]
-            if len(cache) > CACHE:
-                cache.clear()
-                holes.clear()
-            new = [w for w in set().union(*texts) if w not in cache]
-            cuts = [[MARK + w] if w.isalpha() else cut(MARK + w) for w in new]
-            codes = known.find(list({p for parts in cuts for p in parts}))
-            for w, parts in zip(new, cuts):
-                cache[w] = b"".join([codes.get(p, mark) for p in parts])
-                rare = [p for p in parts if p not in codes]
-                if rare:
-                    holes[w] = rare
-            packed, rares = [], []
-            for t in texts:
-                raw = np.frombuffer(b"".join([cache[w] for w in t]), np.uint8)
-                packed.append(pack.compress(raw.reshape(-1, kind.itemsize).T.tobytes()))
-                rares.append([p for w in t if w in holes for p in holes[w]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(rares, schema.field(3).type)], schema=schema)
+        for b in pieces(batches, "text", BLOCK):
+            whole, points, start, first = cutter.cut(b.column(2).to_pylist())
+            at = known.at(points, start)
+            rare = np.flatnonzero(at < 0)
+            at[rare] = len(off) - 2
+            size = off[at + 1] - off[at]
+            to = runs(size)
+            raw = codes[np.arange(to[-1]) + np.repeat(off[at] - to[:-1], size)]
+            packed = [pack.compress(raw[x:y].reshape(-1, kind.itemsize).T.tobytes()) for x, y in zip(to[first].tolist(), to[first[1:]].tolist())]
+            names = [whole[x:y] for x, y in zip(start[rare].tolist(), start[rare + 1].tolist())]
+            rares = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(names, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), rares], schema=schema)
 
     def fill(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -230,19 +268,19 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
                 continue
             texts = [np.frombuffer(unpack.decompress(c), np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel() for c in b.column(1).to_pylist()]
             off, ids = runs(np.array([len(t) for t in texts])), np.concatenate(texts).astype(np.int32)
-            gaps = b.column(2).flatten()
+            gap, gap_off = utf8(b.column(2).flatten())
             size = np.ones(len(ids), np.int64)
             empty = ids == hole
-            size[empty] = np.diff(np.asarray(gaps.offsets)) if len(gaps) else 0
+            size[empty] = np.diff(gap_off) // kind.itemsize
             whole = np.repeat(ids, size)
-            whole[np.repeat(empty, size)] = gaps.flatten().to_numpy(zero_copy_only=False)
+            whole[np.repeat(empty, size)] = gap.view(kind)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(runs(size)[off].astype(np.int32)), pa.array(whole))], names=["doc_id", "ids"])
 
     numbered = only(docs, ("doc_id", "bigint"), ("text", "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    coded = bucketed(numbered.mapInArrow(code, "row bigint, doc_id bigint, code binary, rare array<string>"), "row")
-    rare = coded.select("row", F.posexplode("rare").alias("pos", "part")).join(found.select("part", "ids"), "part")
-    gaps = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("gaps"))
-    whole = coded.select("row", "doc_id", "code").join(gaps, "row", "left").select("doc_id", "code", F.coalesce("gaps", F.array().cast("array<array<int>>")).alias("gaps"))
+    coded = bucketed(numbered.mapInArrow(code, "row bigint, doc_id bigint, code binary, rare array<string>"), "row", "zstd")
+    rare = coded.select("row", F.posexplode("rare").alias("pos", "part")).join(found.select("part", "code"), "part")
+    gaps = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("gaps"))
+    whole = coded.select("row", "doc_id", "code").join(gaps, "row", "left").select("doc_id", "code", F.coalesce("gaps", F.array().cast("array<binary>")).alias("gaps"))
     return whole.mapInArrow(fill, "doc_id bigint, ids array<int>")
 
 
