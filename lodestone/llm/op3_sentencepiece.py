@@ -12,12 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import C1, POSITION, bucketed, mix, only, pieces, prepare, read_table, runs, utf8
+from lodestone.llm.common import C1, POSITION, bucketed, mix, n_shuffle, only, pieces, prepare, read_table, runs, utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = 10.0  # fixed value: how far below the least score an unknown character is
 MARK = "▁"
 BLOCK = 1 << 20  # bytes of text, or characters, that are worked on at once
+SPLIT = 4  # tasks of the lattice for each of other shuffles
 STEP = 1 << 15  # characters whose numbers stay in a processor's cache
 COMMON_BYTES = 32 << 20  # of parts and their ids that are sent to all tasks
 
@@ -169,16 +170,24 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, table: DataFrame, cutter: Cutter, kind: np.dtype) -> DataFrame:
-    """(part, n, code): the lattice of all parts of docs, its ids as bytes, stored in buckets by part. Edges are grouped in order of their parts: a part's edges are in memory, not a task's."""
+    """(part, n, code): the lattice of all parts of docs, its ids as bytes, stored in buckets by part.
+
+    Edges are grouped in order of their parts: a part's edges are in memory, not a
+    task's. As edges take many times the room of parts, the tasks are SPLIT times
+    as many as usual, and aren't joined up again by the size of their parts.
+    """
     spark = docs.sparkSession
-    key = "spark.sql.execution.useObjectHashAggregateExec"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    n = n_shuffle(spark)
+    wanted = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(SPLIT * n)}
+    before = {k: spark.conf.get(k, "true") for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         code = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2 * kind.itemsize, "0")), ""))
-        return bucketed(lattice(parts_of(docs, cutter), table).select("part", "n", code.alias("code")), "part", "zstd")
+        return bucketed(lattice(parts_of(docs, cutter), table).select("part", "n", code.alias("code")), "part", "zstd", n)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Table:
