@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,41 @@ def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
+def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: list[str], few: int = 32, rounds: int = 3) -> DataFrame:
+    """Edges (a, b), a > b, with the components that all close pairs of nodes with a common key have.
+
+    member: keys and node, each once. close(pairs) keeps the rows of (a, b) that
+    are linked. Groups of up to `few` are compared by pairs. A larger group is
+    compared with one leader; while parts of it stay apart, with further leaders
+    from outside its main part; then each node outside the main part is compared
+    with all nodes of other parts, so no link between parts is missed. Pairs are
+    many only where a large group is no component.
+    """
+    size = member.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+    member = member.join(size, keys).checkpoint()
+    large = member.where(F.col("n") > few).select(*keys, "node")
+    small = member.where(F.col("n") <= few).select(*keys, "node")
+    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), keys).where("a > b").select("a", "b")
+    stars = member.where((F.col("n") > few) & (F.col("node") > F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    edges = close(pairs.unionByName(stars).distinct()).checkpoint()
+    if large.isEmpty():
+        return edges
+    for turn in range(rounds + 1):
+        part = large.join(smallest_label(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        main = part.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        part = part.join(main, keys).checkpoint()
+        rest = part.where("label <> main")
+        if rest.isEmpty():
+            break
+        if turn < rounds:
+            ask = rest.groupBy(*keys).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("r")).select(*keys, F.col("r.node").alias("x"), F.col("r.label").alias("of"))
+        else:
+            ask = rest.select(*keys, F.col("node").alias("x"), F.col("label").alias("of"))
+        more = part.join(ask, keys).where("label <> of").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+        edges = edges.unionByName(close(more)).checkpoint()
+    return edges.distinct()
+
+
 def step(link: DataFrame, large: bool) -> DataFrame:
     """Edges come and go as (larger, smaller). Large star: larger neighbours of a node move to its smallest; small star: the smaller ones and itself."""
     if large:

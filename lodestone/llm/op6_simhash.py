@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import only, pieces, prepare, read_table, stored
-from lodestone.llm.components import smallest_label
+from lodestone.llm.components import covering, smallest_label
 
 BITS = 64
 DISTANCE = 2
@@ -113,9 +113,16 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     a larger group no pairs are made: each print names all prints within half the
     distance of it (rounded up and down in turn), and prints that name one and
     the same print are within the distance; each joins the smallest of them.
+    That is for distances 1 and 2; for others, where a print would name too many,
+    a large group is compared with leaders and then across its parts (covering()).
+    Keys have about 64 / distance bits, so large distances make large groups.
     """
+    if not 0 <= distance <= BITS:
+        raise ValueError(f"distance is 0 to {BITS}")
     if distance not in (1, 2):
-        raise ValueError("distance is 1 or 2")
+        member = prints.select("print").distinct().select(F.col("print").alias("node"), keys(distance))
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+        return covering(member, lambda pairs: pairs.where(near), ["i", "key"], DIRECT)
     keyed = prints.select("print", keys(distance))
     size = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     member = keyed.join(size, ["i", "key"]).checkpoint()
