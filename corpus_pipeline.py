@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import op2_suffix_dedup, op6_simhash, op8_pii, op9_quality, op10_packing
-from lodestone.llm.common import prepare, read_table, scratch
+from lodestone.llm import near_copies, op2_suffix_dedup, op8_pii, op9_quality, op10_packing
+from lodestone.llm.common import prepare, read_table, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number, stored, so that it stays the same."""
+    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
     """docs with the text (doc_id, text) in place of its own, n_chars counted again. Ids must be unique, as in `documents`."""
     return docs.drop("text", "n_chars").join(text.select("doc_id", "text"), "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -23,9 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest id."""
-    kept = op6_simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles: that with the smallest id, null ids last."""
+    docs = numbered(docs)
+    return docs.join(near_copies.kept(docs), "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
