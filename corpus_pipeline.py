@@ -17,14 +17,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
-    """docs with the text (doc_id, text) in place of its own, n_chars counted again. Ids must be unique, as in `documents`."""
-    return docs.drop("text", "n_chars").join(text.select("doc_id", "text"), "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    """docs, numbered, with the text (row, text) in place of its own, n_chars counted again."""
+    return docs.drop("text", "n_chars").join(text.select("row", "text"), "row").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling accepts; the target model is fitted on `labels`."""
-    kept = op9_quality.classify(docs, read_table(spark, sf_dir, "labels")).where("accepted").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that the importance resampling accepts; the target model is fitted on `labels`."""
+    docs = numbered(docs)
+    kept = op9_quality.classify(docs, read_table(spark, sf_dir, "labels"), keep=["row"]).where("accepted").select("row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in repeated 200-byte strings go; a character that loses some of its bytes goes whole. Documents of which nothing is left go."""
-    kept = op2_suffix_dedup.cut_texts(docs)
+    docs = numbered(docs)
+    kept = op2_suffix_dedup.cut_texts(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
     return with_text(docs, kept.where("length(text) > 0 or n_removed = 0"))
 
 

@@ -72,9 +72,9 @@ def log_probability(n: np.ndarray) -> np.ndarray:
     return np.log((n + SMOOTH) / (n.sum() + SMOOTH * len(n)))
 
 
-def weights(docs: DataFrame, weight: np.ndarray) -> DataFrame:
-    """docs' doc_id with log_weight (sum over n-grams), n_grams and noise (standard Gumbel, from the row's own content)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("n_grams", pa.int64()), ("noise", pa.float64())])
+def weights(docs: DataFrame, weight: np.ndarray, keep: list[str] = ()) -> DataFrame:
+    """docs' doc_id with log_weight (sum over n-grams), n_grams and noise (standard Gumbel, from the row's own content). Whole numbers in the columns of keep come along, last."""
+    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("n_grams", pa.int64()), ("noise", pa.float64()), *[(c, pa.int64()) for c in keep]])
 
     def make(batches):
         for b in pieces(batches, "text", 2 << 20):
@@ -84,9 +84,10 @@ def weights(docs: DataFrame, weight: np.ndarray) -> DataFrame:
             total, size = np.bincount(doc, weight[bucket], n), np.bincount(doc, minlength=n)
             raw = data.tobytes()
             u = np.array([zlib.crc32(raw[x:y], zlib.crc32(str((SEED, i)).encode())) for i, x, y in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist())], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.array(size.astype(np.int64)), pa.array(-np.log(-np.log((u + 0.5) / 2**32)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total), pa.array(size.astype(np.int64)), pa.array(-np.log(-np.log((u + 0.5) / 2**32))), *b.columns[2:]], schema=schema)
 
-    return only(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(make, "doc_id bigint, log_weight double, n_grams bigint, noise double")
+    more = [(c, "bigint") for c in keep]
+    return only(docs, ("doc_id", "bigint"), ("text", "string"), *more).mapInArrow(make, ", ".join(["doc_id bigint, log_weight double, n_grams bigint, noise double", *map(" ".join, more)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ratio:
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ratio:
     return Ratio(weight, float(best - 0.02) if len(below) < len(good) else -np.inf)
 
 
-def resample(docs: DataFrame, ratio: Ratio, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, ratio: Ratio, k: int | None = None, keep: list[str] = ()) -> DataFrame:
     """(doc_id, log_weight, n_grams, score, key, accepted) for each row of docs.
 
     score = n_grams * (mean log ratio - cut), the log weight against that of a text
@@ -127,15 +128,16 @@ def resample(docs: DataFrame, ratio: Ratio, k: int | None = None) -> DataFrame:
     are hardly ever lost to the noise. Noise comes from
     doc_id and text, so equal rows have equal keys and are taken or left together
     (then more than k may be taken). Texts without n-grams (null, empty) score 0;
-    null ids are rows like others.
+    null ids are rows like others. Whole numbers in the columns of keep come along,
+    last.
     """
     spark = prepare(docs.sparkSession)
     cut = ratio.cut if np.isfinite(ratio.cut) else -1e3
-    scored = stored(weights(docs, ratio.weight).withColumn("score", F.col("log_weight") - F.col("n_grams") * F.lit(cut)).withColumn("key", F.col("score") + F.col("noise")))
+    scored = stored(weights(docs, ratio.weight, keep).withColumn("score", F.col("log_weight") - F.col("n_grams") * F.lit(cut)).withColumn("key", F.col("score") + F.col("noise")))
     if k is None:
         k = scored.where(F.col("score") >= F.lit(-MARGIN)).count()
     edge = kth(scored, k)
-    return scored.select("doc_id", "log_weight", "n_grams", "score", "key", (F.col("key") >= F.lit(edge)).alias("accepted"))
+    return scored.select("doc_id", "log_weight", "n_grams", "score", "key", (F.col("key") >= F.lit(edge)).alias("accepted"), *keep)
 
 
 def kth(scored: DataFrame, k: int, width: int = 4096) -> float:
@@ -168,8 +170,8 @@ def kth(scored: DataFrame, k: int, width: int = 4096) -> float:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return resample(docs, fit(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return resample(docs, fit(docs, labels), keep=keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
