@@ -6,37 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import near_copies, op2_suffix_dedup, op8_pii, op9_quality, op10_packing
-from lodestone.llm.common import prepare, read_table, scratch, stored
+from lodestone.llm.common import prepare, read_table, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number, stored, so that it stays the same."""
-    return stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+def named(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit name of each row's id and text: rows equal in both share it, and share each stage's decision."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(F.struct(F.col("doc_id").isNull(), "doc_id"), F.col("text").isNull(), "text"))
 
 
 def with_text(docs: DataFrame, text: DataFrame) -> DataFrame:
-    """docs, numbered, with the text (row, text) in place of its own, n_chars counted again."""
-    return docs.drop("text", "n_chars").join(text.select("row", "text"), "row").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    """docs, named, with the text (row, text) in place of its own, n_chars counted again."""
+    return docs.drop("text", "n_chars").join(text.select("row", "text").dropDuplicates(["row"]), "row").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the importance resampling accepts; the target model is fitted on `labels`."""
-    docs = numbered(docs)
+    docs = named(docs)
     kept = op9_quality.classify(docs, read_table(spark, sf_dir, "labels"), keep=["row"]).where("accepted").select("row")
     return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles: that with the smallest id, null ids last."""
-    docs = numbered(docs)
-    return docs.join(near_copies.kept(docs), "row", "left_semi").select(*COLUMNS)
+    docs = named(docs)
+    return docs.join(near_copies.kept(docs), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in repeated 200-byte strings go; a character that loses some of its bytes goes whole. Documents of which nothing is left go."""
-    docs = numbered(docs)
+    docs = named(docs)
     kept = op2_suffix_dedup.cut_texts(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
     return with_text(docs, kept.where("length(text) > 0 or n_removed = 0"))
 

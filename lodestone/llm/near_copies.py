@@ -91,8 +91,8 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
 def kept(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(row): one row of each component of the texts that are linked by a similarity of at least `similarity`.
 
-    docs needs row (different and not null), doc_id and text. It is the row with
-    the smallest doc_id, null ids last, then the smallest row. Texts of the same
+    docs needs row (not null, the same only where doc_id and text are), doc_id and
+    text. It is the row with the smallest doc_id, null ids last, then the smallest row. Texts of the same
     words are one node from the start; blank and null texts are one node. Links
     are exact: bands give candidates only, and a link below 1 is missed where no
     band agrees (BANDS, ROWS).
@@ -100,11 +100,11 @@ def kept(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY)
     prepare(docs.sparkSession)
     marked = stored(marks(docs, width))
     classes = marked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"), F.min("row").alias("row")).checkpoint()
-    one = marked.select("row", F.col("class").alias("node"), "bands").join(classes.select("row"), "row", "left_semi")
+    one = marked.select("row", F.col("class").alias("node"), "bands").join(classes.select("row"), "row", "left_semi").dropDuplicates(["node"])
     member = one.select("node", F.posexplode("bands").alias("i", "key"))
     shared = stored(member.join(member.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i", "key"), ["i", "key"]))
     nodes = classes.join(shared.select(F.col("node").alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias("node"), "row")
-    texts = stored(docs.select("row", "text").join(nodes, "row").select("node", "text"))
+    texts = stored(docs.select("row", "text").join(nodes, "row").select("node", "text").dropDuplicates(["node"]))
     label = smallest_label(covering(shared, lambda pairs: similar(pairs, texts, width, similarity), ["i", "key"]))
     found = classes.join(label, F.col("class") == F.col("node"), "left").select(F.coalesce("label", "class").alias("label"), "best")
     return found.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
