@@ -31,7 +31,7 @@ def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: list[str], few: int = 32, rounds: int = 3) -> DataFrame:
+def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: list[str], few: int = 32, rounds: int = 1) -> DataFrame:
     """Edges (a, b), a > b, with the components that all close pairs of nodes with a common key have.
 
     member: keys and node, each once. close(pairs) keeps the rows of (a, b) that
@@ -51,7 +51,8 @@ def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: l
     if large.isEmpty():
         return edges
     for turn in range(rounds + 1):
-        part = large.join(smallest_label(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        label = smallest_label(edges)
+        part = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         main = part.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         part = part.join(main, keys).checkpoint()
         rest = part.where("label <> main")
@@ -62,7 +63,7 @@ def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: l
         else:
             ask = rest.select(*keys, F.col("node").alias("x"), F.col("label").alias("of"))
         more = part.join(ask, keys).where("label <> of").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
-        edges = edges.unionByName(close(more)).checkpoint()
+        edges = label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a > b").unionByName(close(more)).checkpoint()
     return edges.distinct()
 
 
