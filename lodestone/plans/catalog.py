@@ -245,6 +245,21 @@ def pagerank_converged(spark, d):
     return got.ranks.select(F.col("id"), "rank", F.lit(got.iterations).alias("iterations"))
 
 
+@named()
+def pagerank_settled(spark, d):
+    return graph.pagerank(*tables.order_graph(spark, d)).ranks
+
+
+@named()
+def pagerank_no_teleport_settled(spark, d):
+    return graph.pagerank(*tables.order_graph(spark, d), teleport=False).ranks
+
+
+@named()
+def pagerank_top10_settled(spark, d):
+    return graph.top_ranks(graph.pagerank(*tables.order_graph(spark, d)).ranks)
+
+
 # ---------------------------------------------------------------- itemsets
 
 BASKETS = "b AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey), items AS (SELECT item, count(*) AS n FROM b GROUP BY 1)"
