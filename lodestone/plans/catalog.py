@@ -21,7 +21,7 @@ N_HASH, BANDS, THRESHOLD, SEED = 24, 8, 0.6, 246
 ITEM_SUPPORT, PAIR_SUPPORT, SPARSE_SUPPORT, CHUNKS = 200, 320, 2, 8
 N_BITS, K = 1 << 14, 7
 STEPS = 5
-CENTROIDS, DIMS = 4, 8
+CENTROIDS, DIMS, WHOLE = 4, 8, 64
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -323,8 +323,8 @@ PTS = f"pts AS (SELECT vec_id AS id, list_transform(embedding[1:{DIMS}], lambda
 NEAR = lambda c: f"(SELECT id, p, arg_min(cid, (round(list_distance(p, c), 12), cid)) AS label, min(list_distance(p, c)) AS dist FROM pts, {c} GROUP BY id, p)"
 
 
-def first_points(spark, d):
-    p = tables.points(spark, d, DIMS)
+def first_points(spark, d, dims=DIMS):
+    p = tables.points(spark, d, dims)
     return p, [tuple(r.p) for r in p.orderBy("id").limit(CENTROIDS).collect()]
 
 
@@ -358,10 +358,31 @@ def kmeans_bounded(spark, d):
 
 @named()
 def kmeans_plus_plus(spark, d):
-    p = tables.points(spark, d, DIMS)
+    p = tables.points(spark, d)
     return spark.createDataFrame([(i, list(c)) for i, c in enumerate(cluster.spread_start(p, CENTROIDS))], "cid int, c array<double>")
 
 
+@named()
+def kmeans_assign_whole(spark, d):
+    return cluster.assign(*first_points(spark, d, WHOLE)).select("id", "label")
+
+
+@named()
+def kmeans_sse_whole(spark, d):
+    return cluster.sse(*first_points(spark, d, WHOLE))
+
+
+@named()
+def kmeans_settled(spark, d):
+    p, c = first_points(spark, d, WHOLE)
+    return cluster.kmeans(p, CENTROIDS, c).labelled.select("id", "label")
+
+
+@named()
+def kmeans_bounded_settled(spark, d):
+    return cluster.bounded_kmeans(*first_points(spark, d, WHOLE), max_iter=100).labelled.select("id", "label")
+
+
 DRAWS = f"n AS (SELECT count(*) AS n FROM embeddings), dr AS (SELECT {h60(f'{SEED}-a', 'k')} % n AS i, {h60(f'{SEED}-b', 'k')} % n AS j FROM range(2000) t(k), n), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS p FROM embeddings), dist AS (SELECT dim, list_distance(a.p[1:dim], b.p[1:dim]) AS d FROM dr JOIN e a ON a.vec_id = i JOIN e b ON b.vec_id = j, (SELECT unnest([2, 8, 32, 64]) AS dim) WHERE i <> j)"
 
 
