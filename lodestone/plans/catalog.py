@@ -132,6 +132,27 @@ def lsh_quality(spark, d):
     return rounded(similarity.quality(similarity.banded_pairs(s, THRESHOLD, N_HASH, BANDS, SEED), similarity.exact_pairs(s, THRESHOLD)), "recall", "precision")
 
 
+@named()
+def minhash_signatures_full(spark, d):
+    return similarity.signatures(customer_sets(spark, d)).select("doc", F.array_join("sig", ",").alias("sig"))
+
+
+@named()
+def lsh_candidates_full(spark, d):
+    return similarity.candidates(similarity.signatures(customer_sets(spark, d)), 120, 40)
+
+
+@named()
+def lsh_similar_pairs_full(spark, d):
+    return similarity.banded_pairs(customer_sets(spark, d), THRESHOLD)
+
+
+@named()
+def lsh_quality_full(spark, d):
+    s = customer_sets(spark, d)
+    return similarity.quality(similarity.banded_pairs(s, THRESHOLD), similarity.exact_pairs(s, THRESHOLD))
+
+
 @named(f"SELECT s / 10.0 AS similarity, round(1 - pow(1 - pow(s / 10.0, {N_HASH // BANDS}), {BANDS}), 6) AS chance FROM range(11) t(s)")
 def s_curve(spark, d):
     s = spark.range(11).select((F.col("id") / 10.0).alias("similarity"))
