@@ -153,6 +153,20 @@ def lsh_quality_full(spark, d):
     return similarity.quality(similarity.banded_pairs(s, THRESHOLD), similarity.exact_pairs(s, THRESHOLD))
 
 
+def document_sets(spark, d):
+    return similarity.shingles(docs(spark, d))
+
+
+@named()
+def lsh_similar_documents(spark, d):
+    return similarity.banded_pairs(document_sets(spark, d), THRESHOLD)
+
+
+@named()
+def exact_similar_documents(spark, d):
+    return similarity.exact_pairs(document_sets(spark, d), THRESHOLD)
+
+
 @named(f"SELECT s / 10.0 AS similarity, round(1 - pow(1 - pow(s / 10.0, {N_HASH // BANDS}), {BANDS}), 6) AS chance FROM range(11) t(s)")
 def s_curve(spark, d):
     s = spark.range(11).select((F.col("id") / 10.0).alias("similarity"))
