@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,17 +29,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounded Arrow batches, and a checkpoint folder where the cluster names none (tests, one machine)."""
+    """Bounded Arrow batches, and a checkpoint folder: the cluster's; a new one only on one machine (tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder."""
+    """A new folder name under the shared checkpoint folder, which goes when the application ends."""
     prepare(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    sc, jvm = spark.sparkContext, spark._jvm
+    root = f"{sc._jsc.sc().getCheckpointDir().get()}/scratch"
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path.getParent())  # it is named for this application alone
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files, broadcasts and driver memory of plans that are done: Spark frees them as their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+    trim()
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import C1, POSITION, bucketed, mix, n_shuffle, only, pieces, prepare, read_table, runs, utf8
+from lodestone.llm.common import C1, POSITION, bucketed, mix, n_shuffle, only, pieces, prepare, read_table, release, runs, utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = 10.0  # fixed value: how far below the least score an unknown character is
@@ -21,6 +21,9 @@ BLOCK = 1 << 20  # bytes of text, or characters, that are worked on at once
 SPLIT = 4  # tasks of the lattice for each of other shuffles
 STEP = 1 << 15  # characters whose numbers stay in a processor's cache
 COMMON_BYTES = 32 << 20  # of parts and their ids that are sent to all tasks
+LONG = 256  # parts of more characters go through the lattice in stretches
+STRETCH = 1024  # edges of a long part that a step of the fold goes over
+WIDE = 128 * LONG  # characters of a long part in a row, before they are cut into rows of LONG
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
@@ -116,7 +119,7 @@ def same(points: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.nda
 
 
 def parts_of(docs: DataFrame, cutter: Cutter) -> DataFrame:
-    """(part, n): the different parts of texts and how often they come up; added up by block, then by task."""
+    """(part, n, long): the different parts of texts, how often they come up, and whether they have over LONG characters; added up by block, then by task."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(cutter)
 
@@ -132,41 +135,85 @@ def parts_of(docs: DataFrame, cutter: Cutter) -> DataFrame:
                 n = np.concatenate((n - np.bincount(which[lone], minlength=len(n)), np.ones(len(lone), np.int64)))
                 at = np.concatenate((first, lone))
                 names = [whole[x:y] for x, y in zip(s[at].tolist(), s[at + 1].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int64))], names=["part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n.astype(np.int64)), pa.array(np.diff(s)[at] > LONG)], names=["part", "n", "long"])
 
-    return only(docs, ("text", "string")).mapInArrow(make, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    counted = only(docs, ("text", "string")).mapInArrow(make, "part string, n bigint, long boolean")
+    return counted.groupBy("part").agg(F.sum("n").alias("n"), F.max("long").alias("long"))
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(part, n, ids) from (part, n): the segmentation with the largest sum of scores, ties to the longer last piece.
+    """(part, n, ids) from (part, n, long): the segmentation with the largest sum of scores, ties to the longer last piece.
 
     Substrings up to the longest piece are exploded and joined to the piece
     table, which is broadcast (its size is the vocabulary's); edges are grouped
-    by part without a shuffle, as parts are dealt by themselves already; their
-    number in the task comes first in the key, so that the sort finds its rows in order. The fold
-    goes over the edges by their ends and keeps the best path to each of the
-    last places that a piece can start from. A character that is no piece has an
-    edge of the least score less UNKNOWN, and becomes bytes.
+    by part, and the fold goes over them by their ends. A character that is no
+    piece has an edge of the least score less UNKNOWN, and becomes bytes.
+
+    Parts of up to LONG characters are grouped without a shuffle, as they are
+    dealt by themselves already; their number in the task comes first in the
+    key, so that the sort finds its rows in order. The fold keeps the best path
+    to each of the last places that a piece can start from.
+
+    A longer part (`long` says so) is exploded from stretches that overlap by the
+    longest piece, so that no row holds all of it, and its edges meet by its MD5.
+    The fold goes over stretches of edges and keeps a back-pointer for each
+    place; a second fold follows them from the end. Time is linear in the length
+    but for one reference a stretch that is copied with each stretch.
     """
     usual = pieces.where("kind = 'n'").select("piece", "id", "score", F.length("piece").alias("m"))
     longest, least = usual.agg(F.max("m"), F.min("score")).first()
     byte_ids = [r.id for r in pieces.where("kind = 'b'").orderBy("hex").collect()]
-    at = words.select(F.monotonically_increasing_id().alias("at"), "part", "n").select("at", "part", "n", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("s"))
-    cut = at.select("at", "part", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("m"))
-    cut = cut.select("at", "part", "n", "s", "m", F.col("part").substr(F.col("s"), F.col("m")).alias("piece"))
-    met = cut.join(F.broadcast(usual.drop("m")), "piece", "left").where("id is not null or m = 1")
     table = F.array(*[F.lit(i) for i in byte_ids])
     raw = F.hex(F.encode("piece", "UTF-8"))
     as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.get(table, F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-    edge = F.struct((F.col("s") + F.col("m") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("w"), "id", F.when(F.col("id").isNull(), as_bytes).alias("raw"))
-    edges = met.groupBy("at", "part").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    def edges_of(texts: DataFrame, text: str, keep: list[str], first, to) -> DataFrame:
+        """keep and edge, for the pieces in `text` that start at its characters 1 to `to`; `first` is added to their places."""
+        cols = [*keep, *({text} - set(keep)), first.alias("first")]
+        at = texts.select(*cols, F.explode(F.sequence(F.lit(1), to)).alias("s"))
+        cut = at.select(*at.columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("s") + 1))).alias("m"))
+        cut = cut.select(*keep, (F.col("first") + F.col("s")).alias("s"), "m", F.col(text).substr(F.col("s"), F.col("m")).alias("piece"))
+        met = cut.join(F.broadcast(usual.drop("m")), "piece", "left").where("id is not null or m = 1")
+        edge = F.struct((F.col("s") + F.col("m") - 1).alias("e"), (F.col("s") - 1).alias("s"), F.coalesce("score", F.lit(least - UNKNOWN)).alias("w"), "id", F.when(F.col("id").isNull(), as_bytes).alias("raw"))
+        return met.select(*keep, edge.alias("edge"))
+
+    better = "a[size(a) - 1].w < a[x.s - a[0].e].w + x.w"
     step = "named_struct('e', x.e, 'w', a[x.s - a[0].e].w + x.w, 'ids', concat(a[x.s - a[0].e].ids, coalesce(x.raw, array(x.id))))"
     best = f"""aggregate(edges, array(named_struct('e', 0, 'w', 0.0D, 'ids', cast(array() as array<int>))),
         (a, x) -> CASE WHEN a[size(a) - 1].e < x.e THEN array_append(IF(size(a) > {longest}, slice(a, 2, {longest}), a), {step})
-                       WHEN a[size(a) - 1].w < a[x.s - a[0].e].w + x.w THEN array_append(slice(a, 1, size(a) - 1), {step})
+                       WHEN {better} THEN array_append(slice(a, 1, size(a) - 1), {step})
                        ELSE a END,
         a -> a[size(a) - 1].ids)"""
-    return edges.select("part", "n", F.expr(best).alias("ids"))
+    few = words.where("not long").select(F.monotonically_increasing_id().alias("at"), "part", "n")
+    grouped = edges_of(few, "part", ["at", "part", "n"], F.lit(0), F.length("part")).groupBy("at", "part").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    short = grouped.select("part", "n", F.expr(best).alias("ids"))
+
+    point = "named_struct('e', x.e, 'w', a[x.s - a[0].e].w + x.w, 's', x.s, 'id', x.id, 'raw', x.raw)"
+    start = "array(named_struct('e', 0, 'w', 0.0D, 's', -1, 'id', cast(null as int), 'raw', cast(null as array<int>)))"
+    some = f"transform(sequence(k * {STRETCH}, least(size(edges), (k + 1) * {STRETCH}) - 1), i -> edges[i])"
+    inner = f"""aggregate({some}, b.a, (a, x) -> CASE WHEN a[size(a) - 1].e < x.e THEN array_append(a, {point})
+                       WHEN {better} THEN array_append(slice(a, 1, size(a) - 1), {point}) ELSE a END)"""
+    rows = f"slice(a, 1, greatest(0, size(a) - {longest + 1}))"  # their place is passed: no edge that follows starts or ends there
+    held = f"slice(a, greatest(1, size(a) - {longest}), {longest + 1})"
+    forth = f"""aggregate(sequence(0, (size(edges) - 1) div {STRETCH}), named_struct('a', {start}, 'out', cast(array() as array<array<struct<e:int,w:double,s:int,id:int,raw:array<int>>>>)),
+        (b, k) -> transform(array({inner}), a -> named_struct('a', {held}, 'out', array_append(b.out, {rows})))[0], b -> array_append(b.out, b.a))"""
+    ids = "coalesce(y.raw, array(y.id))"
+    back = f"""aggregate(reverse(best), named_struct('want', best[size(best) - 1][size(best[size(best) - 1]) - 1].e, 'out', cast(array() as array<array<int>>)),
+        (b, r) -> transform(array(aggregate(reverse(r), named_struct('want', b.want, 'ids', cast(array() as array<int>)),
+            (c, y) -> IF(y.e = c.want AND y.e > 0, named_struct('want', y.s, 'ids', concat({ids}, c.ids)), c))), c -> named_struct('want', c.want, 'out', array_append(b.out, c.ids)))[0],
+        b -> flatten(reverse(b.out)))"""
+    # n is in the hash so that all branches read the same columns, and thus the same exchange
+    many = words.where("long").select(F.md5(F.concat_ws(" ", "part", F.col("n").cast("string"))).alias("at"), "part", "n")
+    wide = many.select("at", "part", F.explode(F.sequence(F.lit(0), F.floor((F.length("part") - 1) / WIDE).cast("int"))).alias("b"))
+    wide = wide.select("at", (F.col("b") * WIDE).alias("first"), F.col("part").substr(F.col("b") * WIDE + 1, F.lit(WIDE + longest)).alias("text")).repartition("at", "first")
+    near = wide.select("at", "first", "text", F.explode(F.sequence(F.lit(0), F.least(F.lit(WIDE // LONG - 1), F.floor((F.length("text") - 1) / LONG).cast("int")))).alias("b"))
+    near = near.select("at", (F.col("first") + F.col("b") * LONG).alias("first"), F.col("text").substr(F.col("b") * LONG + 1, F.lit(LONG + longest - 1)).alias("text"))
+    edges = edges_of(near, "text", ["at"], F.col("first"), F.least(F.lit(LONG), F.length("text")))
+    named = many.select("at", "part", "n", F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"))
+    both = edges.select("at", F.lit(None).cast("string").alias("part"), F.lit(None).cast("bigint").alias("n"), "edge").unionByName(named)
+    whole = both.groupBy("at").agg(F.max("part").alias("part"), F.max("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    long = whole.select("part", "n", F.expr(forth).alias("best")).select("part", "n", F.expr(back).alias("ids"))
+    return short.unionByName(long)
 
 
 def lexicon(docs: DataFrame, table: DataFrame, cutter: Cutter, kind: np.dtype) -> DataFrame:
@@ -219,9 +266,14 @@ class Table:
 
 
 def frequent(found: DataFrame, room: int = COMMON_BYTES) -> Table:
-    """The most frequent parts, of 64 characters at most, as many classes of like frequency as take `room` bytes together."""
+    """The most frequent parts, as many classes of like frequency as take `room` bytes together.
+
+    Those left out come up no more often than the last class taken: together the
+    classes down to theirs take over `room` bytes, so a part that is left out
+    comes up in at most (bytes of the corpus) / room places, whatever its length.
+    """
     level = F.floor(F.log2("n") * 16).cast("int")
-    some = found.where("length(part) <= 64").withColumn("level", level)
+    some = found.withColumn("level", level)
     sizes = some.groupBy("level").agg(F.sum(F.octet_length("part") + F.octet_length("code") * 2 + 16).alias("b")).orderBy(F.desc("level")).collect()
     least = None
     for r in sizes:
@@ -239,9 +291,10 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     Each different part of a word is encoded once, by the lattice. The most frequent
     parts, up to `room` bytes, are sent to all tasks and put into the texts at once;
     the others leave holes, and meet the lexicon in a join. As frequent parts take
-    no part in that join, none of its keys is hot, but for parts of over 64
-    characters, which are left to adaptive skew joins. Coded texts are stored
-    once, bucketed by row, and aren't moved again.
+    no part in that join, none of its keys is hot (see frequent()). Coded texts are stored
+    once, bucketed by row, and aren't moved again; before that the shuffle files
+    of the lattice are let go. An empty table gives no rows; a text without blanks
+    is one long part (see lattice()). Other columns of docs, whatever their names, are ignored.
     """
     spark = prepare(docs.sparkSession)
     table = piece_table(spark, model)
@@ -250,6 +303,7 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     hole = int(np.iinfo(kind).max)
     found = lexicon(docs, table, cutter, kind)
     common = spark.sparkContext.broadcast((frequent(found, room), cutter))
+    release(spark)
     mark = hole.to_bytes(kind.itemsize, "big")
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("code", pa.binary()), ("rare", pa.list_(pa.string()))])
 
