@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import release
+
 
 def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each node of an edge (a, b) reaches.
@@ -17,9 +19,12 @@ def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbour comes from a partial aggregate, and the join that follows can be
     split by Spark where it is skewed. Each step is checkpointed.
     """
+    spark = edges.sparkSession
     link = edges.select("a", "b").where("a <> b").checkpoint()
     seen = None
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn % 4 == 3:
+            release(spark)
         link = step(step(link, True), False).checkpoint()
         state = link.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")).first()
         if tuple(state) == seen:

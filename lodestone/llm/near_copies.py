@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, exact sets for the decision."""
+"""What op6_simhash.kept() needs of word shingles: wide SimHash prints, MinHash bands that propose pairs, exact sets that decide."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, mix, pieces, prepare, runs, segments, splitmix, stored, trim, utf8, words
-from lodestone.llm.components import covering, smallest_label
+from lodestone.llm.common import U64, mix, pieces, runs, segments, splitmix, trim, utf8, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4  # a pair of similarity 0.8 shares no band with chance (1 - 0.8^4)^32, 5 in 10^8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SALT, FACTOR = splitmix(BANDS * ROWS, 11), splitmix(BANDS * ROWS, 12) | U64(1)
-MARKS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
+PRINT = 4  # 64-bit words of a wide print
+MARKS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("print", pa.list_(pa.int64()))])
 
 
 def shingled(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,20 +51,35 @@ def bands(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_prints(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """PRINT words of SimHash for each text with shingles: a bit is 1 if it is set in over half of the different shingles' hashes."""
+    ends = [(x, y) for x, y in zip(off[:-1].tolist(), off[1:].tolist()) if y > x]
+    out = np.zeros((len(ends), PRINT), U64)
+    for i, (x, y) in enumerate(ends):
+        h = np.unique(g[x:y])
+        count = np.zeros(64 * PRINT, np.int64)
+        for at in range(0, len(h), 1 << 13):
+            some = h[at : at + (1 << 13)]
+            words = np.stack([mix(some, U64(k + 1), 21) for k in range(PRINT)], axis=1)
+            count += np.unpackbits(words.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        out[i] = np.packbits(2 * count > len(h), bitorder="little").view(U64)
+    return out
+
+
 def marks(docs: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, class, bands) for each row of (row, doc_id, text); blank and null texts have class 0 and no bands."""
+    """(row, doc_id, class, bands, print) for each row of (row, doc_id, text); blank and null texts have class 0 and neither bands nor print."""
 
     def make(batches):
         for b in pieces(batches, "text", 1 << 20):
             g, off, name = shingled(*utf8(b.column(2)), width)
             many = np.diff(off) > 0
-            flat = bands(g, off)
-            ends = runs(np.where(many, BANDS, 0)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name.view(np.int64)), lists], schema=MARKS)
+            lists = []
+            for flat, n in ((bands(g, off), BANDS), (wide_prints(g, off), PRINT)):
+                lists.append(pa.ListArray.from_arrays(pa.array(runs(np.where(many, n, 0)).astype(np.int32)), pa.array(flat.reshape(-1).view(np.int64))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name.view(np.int64)), *lists], schema=MARKS)
 
     cols = [F.col("row").cast("bigint").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return docs.select(*cols).mapInArrow(make, "row bigint, doc_id bigint, class bigint, bands array<bigint>")
+    return docs.select(*cols).mapInArrow(make, "row bigint, doc_id bigint, class bigint, bands array<bigint>, print array<bigint>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -86,25 +101,3 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
         trim()
 
     return both.mapInArrow(compare, "a bigint, b bigint")
-
-
-def kept(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(row): one row of each component of the texts that are linked by a similarity of at least `similarity`.
-
-    docs needs row (not null, the same only where doc_id and text are), doc_id and
-    text. It is the row with the smallest doc_id, null ids last, then the smallest row. Texts of the same
-    words are one node from the start; blank and null texts are one node. Links
-    are exact: bands give candidates only, and a link below 1 is missed where no
-    band agrees (BANDS, ROWS).
-    """
-    prepare(docs.sparkSession)
-    marked = stored(marks(docs, width))
-    classes = marked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"), F.min("row").alias("row")).checkpoint()
-    one = marked.select("row", F.col("class").alias("node"), "bands").join(classes.select("row"), "row", "left_semi").dropDuplicates(["node"])
-    member = one.select("node", F.posexplode("bands").alias("i", "key"))
-    shared = stored(member.join(member.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i", "key"), ["i", "key"]))
-    nodes = classes.join(shared.select(F.col("node").alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias("node"), "row")
-    texts = stored(docs.select("row", "text").join(nodes, "row").select("node", "text").dropDuplicates(["node"]))
-    label = smallest_label(covering(shared, lambda pairs: similar(pairs, texts, width, similarity), ["i", "key"]))
-    found = classes.join(label, F.col("class") == F.col("node"), "left").select(F.coalesce("label", "class").alias("label"), "best")
-    return found.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))

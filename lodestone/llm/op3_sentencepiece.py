@@ -22,7 +22,7 @@ SPLIT = 4  # tasks of the lattice for each of other shuffles
 STEP = 1 << 15  # characters whose numbers stay in a processor's cache
 COMMON_BYTES = 32 << 20  # of parts and their ids that are sent to all tasks
 LONG = 256  # parts of more characters go through the lattice in stretches
-STRETCH = 1024  # edges of a long part that a step of the fold goes over
+STRETCH = 128  # edges of a long part that a step of the fold goes over
 WIDE = 128 * LONG  # characters of a long part in a row, before they are cut into rows of LONG
 
 
@@ -158,7 +158,7 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     longest piece, so that no row holds all of it, and its edges meet by its MD5.
     The fold goes over stretches of edges and keeps a back-pointer for each
     place; a second fold follows them from the end. Time is linear in the length
-    but for one reference a stretch that is copied with each stretch.
+    but for one reference a stretch, which is copied with each stretch.
     """
     usual = pieces.where("kind = 'n'").select("piece", "id", "score", F.length("piece").alias("m"))
     longest, least = usual.agg(F.max("m"), F.min("score")).first()
@@ -193,15 +193,19 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     some = f"transform(sequence(k * {STRETCH}, least(size(edges), (k + 1) * {STRETCH}) - 1), i -> edges[i])"
     inner = f"""aggregate({some}, b.a, (a, x) -> CASE WHEN a[size(a) - 1].e < x.e THEN array_append(a, {point})
                        WHEN {better} THEN array_append(slice(a, 1, size(a) - 1), {point}) ELSE a END)"""
-    rows = f"slice(a, 1, greatest(0, size(a) - {longest + 1}))"  # their place is passed: no edge that follows starts or ends there
+    # a step of a fold copies arrays and rows that it holds, but not binary values: so what is done leaves the fold as one
+    text = "concat_ws(':', y.e, y.s, coalesce(array_join(transform(y.raw, i -> cast(i as string)), ' '), cast(y.id as string)))"
+    packed = lambda rows: f"encode(array_join(transform(filter({rows}, y -> y.e > 0), y -> {text}), ','), 'UTF-8')"
+    rows = packed(f"slice(a, 1, greatest(0, size(a) - {longest + 1}))")  # their place is passed: no edge that follows starts or ends there
     held = f"slice(a, greatest(1, size(a) - {longest}), {longest + 1})"
-    forth = f"""aggregate(sequence(0, (size(edges) - 1) div {STRETCH}), named_struct('a', {start}, 'out', cast(array() as array<array<struct<e:int,w:double,s:int,id:int,raw:array<int>>>>)),
-        (b, k) -> transform(array({inner}), a -> named_struct('a', {held}, 'out', array_append(b.out, {rows})))[0], b -> array_append(b.out, b.a))"""
-    ids = "coalesce(y.raw, array(y.id))"
-    back = f"""aggregate(reverse(best), named_struct('want', best[size(best) - 1][size(best[size(best) - 1]) - 1].e, 'out', cast(array() as array<array<int>>)),
-        (b, r) -> transform(array(aggregate(reverse(r), named_struct('want', b.want, 'ids', cast(array() as array<int>)),
-            (c, y) -> IF(y.e = c.want AND y.e > 0, named_struct('want', y.s, 'ids', concat({ids}, c.ids)), c))), c -> named_struct('want', c.want, 'out', array_append(b.out, c.ids)))[0],
-        b -> flatten(reverse(b.out)))"""
+    forth = f"""aggregate(sequence(0, (size(edges) - 1) div {STRETCH}), named_struct('a', {start}, 'out', cast(array() as array<binary>)),
+        (b, k) -> transform(array({inner}), a -> named_struct('a', {held}, 'out', array_append(b.out, {rows})))[0], b -> array_append(b.out, {packed("b.a")}))"""
+    split = "transform(filter(split(decode(r, 'UTF-8'), ','), z -> z <> ''), z -> split(z, ':'))"
+    back = f"""aggregate(reverse(best), named_struct('want', length(part), 'out', cast(array() as array<binary>)),
+        (b, r) -> transform(array(aggregate(reverse({split}), named_struct('want', b.want, 'ids', cast(array() as array<string>)),
+            (c, y) -> IF(cast(y[0] as int) = c.want, named_struct('want', cast(y[1] as int), 'ids', array_prepend(c.ids, y[2])), c))),
+            c -> named_struct('want', c.want, 'out', array_append(b.out, encode(array_join(c.ids, ' '), 'UTF-8'))))[0],
+        b -> flatten(transform(filter(reverse(b.out), z -> length(z) > 0), z -> transform(split(decode(z, 'UTF-8'), ' '), i -> cast(i as int)))))"""
     # n is in the hash so that all branches read the same columns, and thus the same exchange
     many = words.where("long").select(F.md5(F.concat_ws(" ", "part", F.col("n").cast("string"))).alias("at"), "part", "n")
     wide = many.select("at", "part", F.explode(F.sequence(F.lit(0), F.floor((F.length("part") - 1) / WIDE).cast("int"))).alias("b"))

@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, pieces, prepare, read_table, stored
+from lodestone.llm import near_copies
+from lodestone.llm.common import only, pieces, prepare, read_table, release, stored
 from lodestone.llm.components import covering, smallest_label
 
 BITS = 64
@@ -161,5 +162,78 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return prints.join(of, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- texts of a given similarity
+
+WIDE = 64 * near_copies.PRINT
+RING = 16  # segments of a wide print
+CHAIN = 4  # segments in a row that are looked at before the whole print
+
+
+def budget(similarity: float) -> int:
+    """Differing bits of wide prints that texts of that Jaccard similarity hardly ever exceed.
+
+    A bit differs with the angle of the two shingle sets over pi, a little more
+    for sets of a few shingles (half the distance of the similarity at most); the
+    rest is five standard deviations.
+    """
+    p = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, 0.94 * (1 - similarity))
+    return int(np.ceil(WIDE * p + 5 * np.sqrt(WIDE * p * (1 - p))))
+
+
+def chained(a: F.Column, b: F.Column, distance: int) -> tuple[F.Column, F.Column]:
+    """Differences by segment, and whether these (in a column `per`) are within the distance, by pigeonring: from some segment
+    of the ring on they keep to a proportional budget for CHAIN segments, and all of them to the whole budget."""
+    size = WIDE // RING
+    per = [F.bit_count(F.element_at(a, i * size // 64 + 1).bitwiseXOR(F.element_at(b, i * size // 64 + 1)).bitwiseAND(F.lit(signed(((1 << size) - 1) << (i * size % 64))))) for i in range(RING)]
+    starts = []
+    for start in range(RING):
+        total, ok = F.lit(0), F.lit(True)
+        for k in range(CHAIN):
+            total = total + F.get(F.col("per"), F.lit((start + k) % RING))
+            ok = ok & (total * RING <= distance * (k + 1))
+        starts.append(ok)
+    some = starts[0]
+    for s in starts[1:]:
+        some = some | s
+    return F.array(*per), some & (F.aggregate("per", F.lit(0), lambda x, y: x + y) <= distance)
+
+
+def kept(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row): one row of each component of the texts that are linked by a Jaccard similarity of at least `similarity` in word shingles.
+
+    docs needs row (not null, the same only where doc_id and text are), doc_id and
+    text. It is the row with the smallest doc_id, null ids last, then the smallest row. Texts of the same
+    words are one node from the start; blank and null texts are one node. An
+    empty table gives no rows; other columns of docs are ignored.
+
+    SimHash prints of 256 bits are compared by pigeonring under a budget wide
+    enough for the similarity, and exact shingle sets decide what is left. At a
+    budget of 80 in 256 bits a chain without any difference is 3 bits long, so
+    keys of equal segments, as links() has them, would make all texts candidates;
+    MinHash bands propose the pairs instead. A link is missed where no band
+    agrees (5 in 10^8 at 0.8) or the budget is exceeded (under 1 in 10^6).
+    """
+    spark = prepare(docs.sparkSession)
+    marked = stored(near_copies.marks(docs, width))
+    classes = stored(marked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"), F.min("row").alias("row")))
+    one = marked.select("row", F.col("class").alias("node"), "bands", "print").join(classes.select("row"), "row", "left_semi").dropDuplicates(["node"])
+    member = one.select("node", F.posexplode("bands").alias("i", "key"))
+    shared = stored(member.join(member.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i", "key"), ["i", "key"]))
+    nodes = classes.join(shared.select(F.col("node").alias("class")).distinct(), "class", "left_semi").select(F.col("class").alias("node"), "row")
+    texts = stored(docs.select("row", "text").join(nodes, "row").select("node", "text").dropDuplicates(["node"]))
+    prints = stored(one.select("node", "print").join(nodes.select("node"), "node", "left_semi"))
+    release(spark)
+
+    def close(pairs: DataFrame) -> DataFrame:
+        a, b = prints.select(F.col("node").alias("a"), F.col("print").alias("p")), prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
+        per, ok = chained(F.col("p"), F.col("q"), budget(similarity))
+        near = pairs.join(a, "a").join(b, "b").select("a", "b", per.alias("per")).where(ok).select("a", "b")
+        return near_copies.similar(near, texts, width, similarity)
+
+    label = smallest_label(covering(shared, close, ["i", "key"]))
+    found = classes.join(label, F.col("class") == F.col("node"), "left").select(F.coalesce("label", "class").alias("label"), "best")
+    return found.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
