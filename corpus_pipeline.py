@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_copies, op2_suffix_dedup, op8_pii, op9_quality, op10_packing
-from lodestone.llm.common import prepare, read_table, scratch
+from lodestone.llm import op2_suffix_dedup, op6_simhash, op8_pii, op9_quality, op10_packing
+from lodestone.llm.common import discard, prepare, read_table, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of texts with a Jaccard similarity of 0.8 or more in five-word shingles: that with the smallest id, null ids last."""
     docs = named(docs)
-    return docs.join(near_copies.kept(docs), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    return docs.join(op6_simhash.kept(docs), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. A stage's rows are stored for the next one, and go when that one's are."""
     prepare(spark)
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = scratch(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
+        release(spark)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
