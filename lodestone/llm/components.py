@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import release
+from lodestone.llm.common import release, stored, trim
+
+BLOCK = 1 << 20  # bytes of values that are compared with each other at once
 
 
 def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,15 +21,15 @@ def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     every edge joins a node to its component's smallest; that takes about the
     logarithm of the longest path. A hub is never gathered: its smallest
     neighbour comes from a partial aggregate, and the join that follows can be
-    split by Spark where it is skewed. Each step is checkpointed.
+    split by Spark where it is skewed. Each step is stored.
     """
     spark = edges.sparkSession
-    link = edges.select("a", "b").where("a <> b").checkpoint()
+    link = stored(edges.select("a", "b").where("a <> b"))
     seen = None
     for turn in range(rounds):
         if turn % 4 == 3:
             release(spark)
-        link = step(step(link, True), False).checkpoint()
+        link = stored(step(step(link, True), False))
         state = link.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")).first()
         if tuple(state) == seen:
             break
@@ -36,40 +40,47 @@ def smallest_label(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def covering(member: DataFrame, close: Callable[[DataFrame], DataFrame], keys: list[str], few: int = 32, rounds: int = 1) -> DataFrame:
-    """Edges (a, b), a > b, with the components that all close pairs of nodes with a common key have.
+def covering(member: DataFrame, values: DataFrame, measure: Callable[[DataFrame], DataFrame], between: Callable, limit: float, keys: list[str]) -> DataFrame:
+    """Edges (a, b), a > b, with the components that all pairs of nodes with a common key and a distance of at most `limit` have.
+
+    member: keys and node, each once. values: node, value and size (bytes).
+    measure(pairs) gives (a, b, d) for the rows of (a, b); it may leave out pairs
+    that are beyond the limit. between(xs, ys) gives the distances of two Arrow
+    arrays of values, as a matrix.
 
-    member: keys and node, each once. close(pairs) keeps the rows of (a, b) that
-    are linked. Groups of up to `few` are compared by pairs. A larger group is
-    compared with one leader; while parts of it stay apart, with further leaders
-    from outside its main part; then each node outside the main part is compared
-    with all nodes of other parts, so no link between parts is missed. Pairs are
-    many only where a large group is no component.
+    Each group is compared with one leader, drawn by key, so that a node of
+    several groups meets several leaders; this makes less pairs than there are
+    members. Where a group has stayed apart, its nodes outside the main part are
+    compared with all of it in blocks of about BLOCK bytes: no pairs are made,
+    and a node sends one link for each part that it reaches. So no link is missed.
+    That last pass grows with (nodes near no leader) x (size of their groups).
     """
-    size = member.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
-    member = member.join(size, keys).checkpoint()
-    large = member.where(F.col("n") > few).select(*keys, "node")
-    small = member.where(F.col("n") <= few).select(*keys, "node")
-    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), keys).where("a > b").select("a", "b")
-    stars = member.where((F.col("n") > few) & (F.col("node") > F.col("lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    edges = close(pairs.unionByName(stars).distinct()).checkpoint()
-    if large.isEmpty():
-        return edges
-    for turn in range(rounds + 1):
-        label = smallest_label(edges)
-        part = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        main = part.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        part = part.join(main, keys).checkpoint()
-        rest = part.where("label <> main")
-        if rest.isEmpty():
-            break
-        if turn < rounds:
-            ask = rest.groupBy(*keys).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("r")).select(*keys, F.col("r.node").alias("x"), F.col("r.label").alias("of"))
-        else:
-            ask = rest.select(*keys, F.col("node").alias("x"), F.col("label").alias("of"))
-        more = part.join(ask, keys).where("label <> of").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
-        edges = label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a > b").unionByName(close(more)).checkpoint()
-    return edges.distinct()
+    size = member.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", *keys)).alias("lead")).where("n > 1").drop("n")
+    member = stored(member.join(size, keys))
+    stars = member.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+    label = stored(smallest_label(measure(stars).where(F.col("d") <= limit)))
+    part = member.join(label, "node", "left").select(*keys, "node", F.coalesce("label", "node").alias("label"))
+    main = part.groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    apart = stored(part.join(main, keys).join(values.select("node", "size"), "node"))
+    total = apart.groupBy(*keys).agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    apart = apart.join(total, keys).withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)))).join(values.select("node", "value"), "node")
+    packed = lambda df, name: df.groupBy(*keys, "block").agg(F.collect_list(F.struct("node", "label", "value")).alias(name)).drop("block")
+    both = packed(apart.where("label <> main"), "xs").join(packed(apart, "ys"), keys).select("xs", "ys")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (xn, xl, xv), (yn, yl, yv) = ([c.field(f) for f in range(3)] for c in (batch.column(k)[i].values for k in (0, 1)))
+                xn, xl, yn, yl = (c.to_numpy() for c in (xn, xl, yn, yl))
+                r, c = np.nonzero((between(xv, yv) <= limit) & (xl[:, None] != yl[None, :]))
+                _, first = np.unique(np.stack([xn[r], yl[c]]), axis=1, return_index=True)
+                r, c = r[first], c[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(xn[r], yn[c])), pa.array(np.minimum(xn[r], yn[c]))], schema=schema)
+        trim()
+
+    found = both.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a > b").unionByName(found)
 
 
 def step(link: DataFrame, large: bool) -> DataFrame:

@@ -82,8 +82,8 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(*cols).mapInArrow(make, "row bigint, doc_id bigint, class bigint, bands array<bigint>, print array<bigint>")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The rows (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least `similarity`. texts: (node, text), each node once."""
+def measured(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, d) for the rows (a, b) of pairs: the Jaccard distance of their texts' shingle sets. texts: (node, text), each node once."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t")
@@ -92,12 +92,32 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -
         for b in batches:
             for p in pieces(iter([b]), "s", 1 << 20):
                 sides = [shingled(*utf8(p.column(c)), width)[:2] for c in (2, 3)]
-                keep = np.zeros(p.num_rows, bool)
+                d = np.zeros(p.num_rows)
                 for i in range(p.num_rows):
                     x, y = (np.unique(g[off[i] : off[i + 1]]) for g, off in sides)
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = common >= similarity * (len(x) + len(y) - common) - 1e-9
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                    d[i] = 1 - common / max(1, len(x) + len(y) - common)
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(d)], names=["a", "b", "d"])
         trim()
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(compare, "a bigint, b bigint, d double")
+
+
+def between(xs: pa.Array, ys: pa.Array, width: int) -> np.ndarray:
+    """The Jaccard distances of two arrays of texts, as a matrix."""
+    (x, xo, _), (y, yo, _) = shingled(*utf8(xs), width), shingled(*utf8(ys), width)
+    sets = [np.unique(y[i:j]) for i, j in zip(yo[:-1], yo[1:])]
+    size = np.array([len(s) for s in sets])
+    every = np.concatenate([np.zeros(0, U64), *sets])
+    known, code = np.unique(every, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    out = np.ones((len(xs), len(ys)))
+    for k, (i, j) in enumerate(zip(xo[:-1], xo[1:])):
+        one = np.unique(x[i:j])
+        has = np.zeros(len(known) + 1, bool)
+        at = np.searchsorted(known, one)
+        at = at[known[np.minimum(at, len(known) - 1)] == one] if len(known) else at[:0]
+        has[at] = True
+        common = np.bincount(owner[has[code]], minlength=len(sets))
+        out[k] = 1 - common / np.maximum(1, len(one) + size - common)
+    return out

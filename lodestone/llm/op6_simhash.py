@@ -115,18 +115,19 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     distance of it (rounded up and down in turn), and prints that name one and
     the same print are within the distance; each joins the smallest of them.
     That is for distances 1 and 2; for others, where a print would name too many,
-    a large group is compared with leaders and then across its parts (covering()).
+    groups are compared with leaders and then across their parts (covering()).
     Keys have about 64 / distance bits, so large distances make large groups.
     """
     if not 0 <= distance <= BITS:
         raise ValueError(f"distance is 0 to {BITS}")
     if distance not in (1, 2):
-        member = prints.select("print").distinct().select(F.col("print").alias("node"), keys(distance))
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-        return covering(member, lambda pairs: pairs.where(near), ["i", "key"], DIRECT)
+        node = prints.select("print").distinct().select(F.col("print").alias("node"), "print")
+        member, values = node.select("node", keys(distance)), node.select("node", F.col("print").alias("value"), F.lit(8).alias("size"))
+        differ = lambda xs, ys: np.bitwise_count(xs.to_numpy()[:, None].view(np.uint64) ^ ys.to_numpy()[None, :].view(np.uint64))
+        return covering(member, values, lambda pairs: pairs.withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), differ, distance, ["i", "key"])
     keyed = prints.select("print", keys(distance))
     size = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    member = keyed.join(size, ["i", "key"]).checkpoint()
+    member = stored(keyed.join(size, ["i", "key"]))
     small = member.where(F.col("n") <= DIRECT)
     a = small.select("i", "key", F.col("print").alias("a"))
     b = small.select("i", "key", F.col("print").alias("b"))
@@ -224,13 +225,14 @@ def kept(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     prints = stored(one.select("node", "print").join(nodes.select("node"), "node", "left_semi"))
     release(spark)
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         a, b = prints.select(F.col("node").alias("a"), F.col("print").alias("p")), prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
         per, ok = chained(F.col("p"), F.col("q"), budget(similarity))
         near = pairs.join(a, "a").join(b, "b").select("a", "b", per.alias("per")).where(ok).select("a", "b")
-        return near_copies.similar(near, texts, width, similarity)
+        return near_copies.measured(near, texts, width)
 
-    label = smallest_label(covering(shared, close, ["i", "key"]))
+    values = texts.select("node", F.col("text").alias("value"), F.octet_length("text").alias("size"))
+    label = smallest_label(covering(shared, values, measure, lambda xs, ys: near_copies.between(xs, ys, width), 1 - similarity + 1e-9, ["i", "key"]))
     found = classes.join(label, F.col("class") == F.col("node"), "left").select(F.coalesce("label", "class").alias("label"), "best")
     return found.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
 
