@@ -99,7 +99,7 @@ def chunk_candidates(baskets: DataFrame, support: int) -> DataFrame:
     total = sizes.agg(F.sum("size").alias("total"))
     chunk_of = baskets.select("basket", "chunk").distinct()
     local = pairs_of(baskets.select("basket", "item")).join(chunk_of, "basket").groupBy("chunk", "a", "b").agg(F.count("*").alias("n"))
-    return local.join(F.broadcast(sizes), "chunk").join(F.broadcast(total)).where(F.col("n") * F.col("total") >= F.lit(support) * F.col("size")).select("a", "b").distinct()
+    return local.join(sizes, "chunk").join(F.broadcast(total)).where(F.col("n") * F.col("total") >= F.lit(support) * F.col("size")).select("a", "b").distinct()
 
 
 def chunk_pairs(baskets: DataFrame, support: int) -> DataFrame:

@@ -65,6 +65,21 @@ def shuffle_volume(words: DataFrame, mappers: int = MAPPERS, pos: str = "pos") -
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("combined"))
 
 
+def positions(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """rows with their place from 0 by the key, without gaps whatever the key has: ranges are sorted apart, and the counts of
+    the ranges before (a row each) are added."""
+    from pyspark.sql import Window
+
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = rows.approxQuantile(key, [i / n for i in range(1, n)], 0.001) if n > 1 else []
+    part = F.array_position(F.array_sort(F.array_append(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), F.col(key).cast("double"))), F.col(key).cast("double")).cast("int")
+    dealt = rows.withColumn("part", part)
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
+    return local.join(F.broadcast(before), "part").withColumn(pos, F.col("before") + F.col("local")).drop("part", "before", "local")
+
+
 def matrix_vector(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """(i, x): x_i = sum of m_ij * v_j. Rows without entries are absent. Spark broadcasts the vector if it is small, else both are shuffled by j."""
     return matrix.join(vector, "j").groupBy("i").agg(F.sum(F.col("m") * F.col("v")).alias("x"))

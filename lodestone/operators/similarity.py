@@ -26,6 +26,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
 
 
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """(doc, items): one representative, the smallest doc, of each different set; empty sets are out. Copies make no pairs."""
+    return sets.where(F.size("items") > 0).groupBy(F.sort_array("items").alias("items")).agg(F.min("doc").alias("doc")).select("doc", "items")
+
+
+def membership(sets: DataFrame) -> DataFrame:
+    """(doc, representative) for each set that isn't empty: what distinct_sets() has put together. Items are compared by their SHA-256."""
+    keyed = sets.where(F.size("items") > 0).select("doc", F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("h"))
+    return keyed.join(keyed.groupBy("h").agg(F.min("doc").alias("representative")), "h").select("doc", "representative")
+
+
 def columns_from_matrix(cells: DataFrame) -> DataFrame:
     """(doc, items) of the cells (row, col, v) that aren't 0."""
     return cells.where("v <> 0").groupBy(F.col("col").alias("doc")).agg(F.sort_array(F.collect_set(F.col("row").cast("bigint"))).alias("items"))

@@ -6,7 +6,7 @@ or run as streams; their tests are in tests/.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import affine_family, seeded
 from lodestone.operators import cluster, graph, itemsets, mapreduce, similarity, sketch
+from lodestone.session import ensure_checkpoints
 from lodestone.sources import tables
 from lodestone.streaming import streams
 
-N_HASH, BANDS, THRESHOLD, SEED = 24, 8, 0.6, 246
+N_HASH, BANDS, THRESHOLD, SEED = 120, 40, 0.6, 246
 ITEM_SUPPORT, PAIR_SUPPORT, SPARSE_SUPPORT, CHUNKS = 200, 320, 2, 8
 N_BITS, K = 1 << 14, 7
 STEPS = 5
@@ -81,29 +82,38 @@ def matrix_vector(spark, d):
 
 @named(f"WITH b AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS t FROM orders) SELECT (pos // greatest(1, ceil(t / {CHUNKS})::BIGINT))::INTEGER AS chunk, count(*) AS n FROM b GROUP BY 1")
 def chunk_sizes(spark, d):
-    o = tables.table(spark, d, "orders")
-    pos = o.select((F.col("o_orderkey") - F.lit(o.agg(F.min("o_orderkey")).first()[0] or 0)).alias("pos"))
+    pos = mapreduce.positions(tables.table(spark, d, "orders"), "o_orderkey")
     return mapreduce.chunked(pos, CHUNKS, "pos").groupBy("chunk").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- similarity: customers as sets of suppliers' nations and parts' sizes
+# ---------------------------------------------------------------- similarity: documents as sets of five-word shingles, one of each different set
 
-SETS = "sets AS (SELECT o_custkey AS doc, list_sort(list_distinct(list(l_suppkey % 40))) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"
-JACC = "len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))"
-PAIRS = f"truth AS (SELECT a.doc AS i, b.doc AS j, {JACC} AS sim FROM sets a JOIN sets b ON a.doc < b.doc WHERE {JACC} >= {THRESHOLD})"
+SETS = (
+    "w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t]+'), lambda x: x <> '') AS w FROM documents), "
+    "s AS (SELECT doc_id, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s FROM w WHERE len(w) > 0), "
+    "h AS (SELECT doc_id, list_sort(list_distinct(list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483648))) AS items FROM s), "
+    "sets AS (SELECT min(doc_id) AS doc, items FROM h GROUP BY items)"
+)
+PAIRS = f"long AS (SELECT doc, unnest(items) AS item, len(items) AS m FROM sets), truth AS (SELECT i, j, n / (m1 + m2 - n) AS sim FROM (SELECT a.doc AS i, b.doc AS j, any_value(a.m) AS m1, any_value(b.m) AS m2, count(*) AS n FROM long a JOIN long b ON a.item = b.item AND a.doc < b.doc GROUP BY 1, 2) WHERE n / (m1 + m2 - n) >= {THRESHOLD})"
 FAMILY = affine_family(N_HASH, SEED)
 SIGS = "sigs AS (SELECT doc, [" + ", ".join(f"list_min(list_transform(items, lambda x: ({a} * x + {b}) % 2147483647))" for a, b in FAMILY) + "] AS sig FROM sets)"
-CAND = "cand AS (" + " UNION ".join(f"SELECT a.doc AS i, b.doc AS j FROM sigs a JOIN sigs b ON a.doc < b.doc AND a.sig[{s}:{s + n - 1}] = b.sig[{s}:{s + n - 1}]" for s, n in similarity.bands_of(N_HASH, BANDS)) + ")"
+KEYS_OF = "[" + ", ".join(f"'{k}:' || array_to_string(sig[{s}:{s + n - 1}], '-')" for k, (s, n) in enumerate(similarity.bands_of(N_HASH, BANDS))) + "]"
+CAND = f"keyed AS (SELECT doc, unnest({KEYS_OF}) AS key FROM sigs), cand AS (SELECT DISTINCT a.doc AS i, b.doc AS j FROM keyed a JOIN keyed b ON a.key = b.key AND a.doc < b.doc)"
+JACC = "len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))"
 FOUND = f"found AS (SELECT i, j, {JACC} AS sim FROM cand JOIN sets a ON a.doc = i JOIN sets b ON b.doc = j WHERE {JACC} >= {THRESHOLD})"
 
 
-def customer_sets(spark, d):
-    o, li = tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem")
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("doc")).agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 40)).alias("items"))
+def document_sets(spark, d):
+    return similarity.distinct_sets(similarity.shingles(docs(spark, d)))
 
 
 def sigs(spark, d):
-    return similarity.signatures(customer_sets(spark, d), N_HASH, SEED)
+    return similarity.signatures(document_sets(spark, d), N_HASH, SEED)
+
+
+@named(f"WITH {SETS} SELECT doc_id AS doc, min(doc_id) OVER (PARTITION BY items) AS representative FROM h")
+def similar_classes(spark, d):
+    return similarity.membership(similarity.shingles(docs(spark, d)))
 
 
 @named(f"WITH {SETS}, {SIGS} SELECT doc, array_to_string(sig, ',') AS sig FROM sigs")
@@ -118,53 +128,31 @@ def lsh_candidates(spark, d):
 
 @named(f"WITH {SETS}, {SIGS}, {CAND}, {FOUND} SELECT i, j, round(sim, 6) AS sim FROM found")
 def lsh_similar_pairs(spark, d):
-    return rounded(similarity.banded_pairs(customer_sets(spark, d), THRESHOLD, N_HASH, BANDS, SEED), "sim")
+    return rounded(similarity.banded_pairs(document_sets(spark, d), THRESHOLD, N_HASH, BANDS, SEED), "sim")
 
 
 @named(f"WITH {SETS}, {PAIRS} SELECT i, j, round(sim, 6) AS sim FROM truth")
 def exact_similar_pairs(spark, d):
-    return rounded(similarity.exact_pairs(customer_sets(spark, d), THRESHOLD), "sim")
+    return rounded(similarity.exact_pairs(document_sets(spark, d), THRESHOLD), "sim")
 
 
 @named(f"WITH {SETS}, {SIGS}, {CAND}, {FOUND}, {PAIRS}, c AS (SELECT (SELECT count(*) FROM found) AS n_found, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM found JOIN truth USING (i, j)) AS n_both) SELECT *, coalesce(round(n_both / nullif(n_truth, 0), 6), 1.0) AS recall, coalesce(round(n_both / nullif(n_found, 0), 6), 1.0) AS precision FROM c")
 def lsh_quality(spark, d):
-    s = customer_sets(spark, d)
+    s = document_sets(spark, d)
     return rounded(similarity.quality(similarity.banded_pairs(s, THRESHOLD, N_HASH, BANDS, SEED), similarity.exact_pairs(s, THRESHOLD)), "recall", "precision")
 
 
-@named()
-def minhash_signatures_full(spark, d):
-    return similarity.signatures(customer_sets(spark, d)).select("doc", F.array_join("sig", ",").alias("sig"))
-
-
-@named()
-def lsh_candidates_full(spark, d):
-    return similarity.candidates(similarity.signatures(customer_sets(spark, d)), 120, 40)
-
-
-@named()
-def lsh_similar_pairs_full(spark, d):
-    return similarity.banded_pairs(customer_sets(spark, d), THRESHOLD)
-
-
-@named()
-def lsh_quality_full(spark, d):
-    s = customer_sets(spark, d)
-    return similarity.quality(similarity.banded_pairs(s, THRESHOLD), similarity.exact_pairs(s, THRESHOLD))
-
-
-def document_sets(spark, d):
-    return similarity.shingles(docs(spark, d))
-
-
-@named()
-def lsh_similar_documents(spark, d):
-    return similarity.banded_pairs(document_sets(spark, d), THRESHOLD)
-
-
-@named()
-def exact_similar_documents(spark, d):
-    return similarity.exact_pairs(document_sets(spark, d), THRESHOLD)
+@named(f"WITH {SETS}, {SIGS}, {CAND}, {FOUND}, {PAIRS} SELECT (SELECT count(*) FROM sets) AS n, (SELECT count(*) * (count(*) - 1) // 2 FROM sets) AS all_pairs, (SELECT count(*) FROM cand) AS lsh_comparisons, (SELECT count(*) FROM found) AS lsh_pairs, (SELECT count(*) FROM truth) AS exact_pairs")
+def similarity_comparisons(spark, d):
+    """How many pairs all pairs and the bands compare, and how many similar ones each finds."""
+    s = document_sets(spark, d)
+    cand = similarity.candidates(similarity.signatures(s, N_HASH, SEED), N_HASH, BANDS)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    n = count(s, "n").select("n", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("all_pairs"))
+    parts = [count(cand, "lsh_comparisons"), count(similarity.verified(cand, s, THRESHOLD), "lsh_pairs"), count(similarity.exact_pairs(s, THRESHOLD), "exact_pairs")]
+    for p in parts:
+        n = n.join(F.broadcast(p))
+    return n
 
 
 @named(f"SELECT s / 10.0 AS similarity, round(1 - pow(1 - pow(s / 10.0, {N_HASH // BANDS}), {BANDS}), 6) AS chance FROM range(11) t(s)")
@@ -436,23 +424,24 @@ def event_stream(spark, d):
 
 @named("SELECT event_type AS word, count(*) AS n FROM events GROUP BY 1")
 def stream_word_count(spark, d):
-    return streams.drained(streams.word_count(event_stream(spark, d), "event_type"), "stream_words")
+    return streams.drained(streams.word_count(event_stream(spark, d), "event_type"))
 
 
 @named(SQL["fm_registers"])
 def stream_registers(spark, d):
-    return streams.drained(streams.distinct_registers(event_stream(spark, d), "key", 64, SEED), "stream_registers")
+    return streams.drained(streams.distinct_registers(event_stream(spark, d), "key", 64, SEED))
 
 
 @named("SELECT DISTINCT bit FROM (" + " UNION ALL ".join(f"SELECT {h60(f'{SEED}-{i}', 'user_id')} % {N_BITS} AS bit FROM events" for i in range(K)) + ")")
 def stream_filter_bits(spark, d):
-    return streams.drained(streams.filter_bits(event_stream(spark, d), "user_id", N_BITS, K, SEED), "stream_bits", "append")
+    return streams.drained(streams.filter_bits(event_stream(spark, d), "user_id", N_BITS, K, SEED), "append")
 
 
 @named(SQL["reservoir_sample"])
 def stream_reservoir(spark, d):
-    keep = streams.Reservoir(tempfile.mkdtemp(prefix="reservoir-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir')}/reservoir-{id(d)}", 100, "event_id", lambda c: seeded(SEED, c))
-    q = event_stream(spark, d).select("event_id", "user_id").writeStream.foreachBatch(keep).trigger(availableNow=True).start()
+    path = f"{ensure_checkpoints(spark)}/{uuid.uuid4().hex}"
+    keep = streams.Reservoir(f"{path}/sample", 100, "event_id", lambda c: seeded(SEED, c))
+    q = event_stream(spark, d).select("event_id", "user_id").writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return keep.sample(spark)
 

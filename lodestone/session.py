@@ -15,7 +15,11 @@ def local_session(cores: str = "*", partitions: int = 8, **more: str) -> SparkSe
     return b.getOrCreate()
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; where none is set (one machine) a new temporary folder."""
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; on one machine, where none is set, a new temporary one."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.sketch import bloom_bits, registers
+from lodestone.session import ensure_checkpoints
 
 
 def word_count(stream: DataFrame, word: str) -> DataFrame:
@@ -38,27 +40,45 @@ def windowed_count(stream: DataFrame, item: str, time: str, length: str, late: s
 
 
 class Reservoir:
-    """For foreachBatch: keeps the k rows with the least draw of all batches, in a Parquet folder; a batch that comes again changes nothing."""
+    """For foreachBatch: keeps the k rows with the least draw of all batches, in a Parquet folder.
+
+    The newest turn before the batch's own is read from the folder, so a query
+    that starts again from its checkpoint goes on with the sample it had, and a
+    batch that comes again changes nothing.
+    """
 
     def __init__(self, path: str, k: int, key: str, draw: Callable):
-        self.path, self.k, self.key, self.draw, self.turn = path, k, key, draw, -1
+        self.path, self.k, self.key, self.draw = path, k, key, draw
+
+    def turns(self, spark: SparkSession) -> list[int]:
+        """The batches whose sample is complete."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("draw", self.draw(F.col(self.key)))
-        if self.turn >= 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{self.path}/{self.turn}"))
+        before = [t for t in self.turns(batch.sparkSession) if t < batch_id]
+        if before:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{self.path}/{before[-1]}"))
         rows.dropDuplicates([self.key]).orderBy("draw", self.key).limit(self.k).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.turn = batch_id
 
     def sample(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{self.turn}").drop("draw")
+        return spark.read.parquet(f"{self.path}/{self.turns(spark)[-1]}").drop("draw")
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs the stream over all that is there and gives the result table, which lies in the checkpoint folder."""
+    spark, path = stream.sparkSession, f"{ensure_checkpoints(stream.sparkSession)}/{uuid.uuid4().hex}"
 
+    def keep(batch: DataFrame, batch_id: int) -> None:  # in complete mode each batch has the whole table
+        batch.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/batch={batch_id}")
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all that is there and gives the result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
