@@ -13,10 +13,14 @@ from lodestone.functions.hashing import PRIME, affine_family, md5_60
 
 def shingles(docs: DataFrame, width: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, items): the different `width`-word shingles of each text as 31-bit numbers; shorter texts have one shingle, blank ones none."""
-    w = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[ \n\t]+"), lambda x: x != "")
-    several = F.transform(F.sequence(F.lit(1), F.size("w") - (width - 1)), lambda i: F.array_join(F.slice("w", i, width), " "))
-    sets = F.when(F.size("w") == 0, F.array().cast("array<string>")).when(F.size("w") <= width, F.array(F.array_join("w", " "))).otherwise(several)
-    return docs.select(F.col(doc).alias("doc"), w.alias("w")).select("doc", F.array_distinct(F.transform(sets, lambda s: F.pmod(md5_60(s), F.lit(1 << 31)))).alias("items"))
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[ \n\t]+"), lambda x: x != "")
+
+    def sets(w: Column) -> Column:
+        several = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= width, F.array(F.array_join(w, " "))).otherwise(several)
+
+    once = F.transform(F.array(words), sets)[0]  # a variable of transform() is computed once; a column would be for each shingle
+    return docs.select(F.col(doc).alias("doc"), F.array_distinct(F.transform(once, lambda s: F.pmod(md5_60(s), F.lit(1 << 31)))).alias("items"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

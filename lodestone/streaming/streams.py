@@ -78,7 +78,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/batch={batch_id}")
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return spark.read.parquet(f"{path}/table").select(*stream.columns)
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
