@@ -75,7 +75,7 @@ def stored(df: DataFrame) -> DataFrame:
 def bucketed(df: DataFrame, key: str, codec: str = "snappy", n: int | None = None) -> DataFrame:
     """df as Parquet in the shared folder, bucketed: later joins on key move the other side alone."""
     spark, name, path = df.sparkSession, f"b_{uuid.uuid4().hex}", scratch(df.sparkSession)
-    df.write.bucketBy(n or n_shuffle(spark), key).option("path", path).option("compression", codec).saveAsTable(name)
+    df.write.bucketBy(n or n_shuffle(spark), key).option("path", path).option("compression", codec).option("parquet.compression.codec.zstd.level", "9").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"DROP TABLE {name}")

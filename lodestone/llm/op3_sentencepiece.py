@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -252,6 +253,13 @@ class Table:
         self.start = runs(np.diff(start)[order]).astype(np.int32)
         self.code, self.code_off = np.frombuffer(b"".join([codes[i] for i in order]), np.uint8), runs(np.array([len(codes[i]) for i in order], np.int64)).astype(np.int32)
 
+    def __getstate__(self) -> bytes:
+        """Compressed: each executor keeps a broadcast on its disk."""
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(self.__dict__, protocol=5))
+
+    def __setstate__(self, raw: bytes) -> None:
+        self.__dict__.update(pickle.loads(zstandard.ZstdDecompressor().decompress(raw)))
+
     def at(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The place of each part in the table; -1 for those that it has not."""
         out = [np.zeros(0, np.int64)]
@@ -314,7 +322,6 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     def code(batches):
         known, cutter = common.value
         codes, off = np.concatenate((known.code, np.frombuffer(mark, np.uint8))), np.append(known.code_off, known.code_off[-1] + len(mark))
-        pack = zstandard.ZstdCompressor(level=3)
         for b in pieces(batches, "text", BLOCK):
             whole, points, start, first = cutter.cut(b.column(2).to_pylist())
             at = known.at(points, start)
@@ -323,18 +330,17 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
             size = off[at + 1] - off[at]
             to = runs(size)
             raw = codes[np.arange(to[-1]) + np.repeat(off[at] - to[:-1], size)]
-            packed = [pack.compress(raw[x:y].reshape(-1, kind.itemsize).T.tobytes()) for x, y in zip(to[first].tolist(), to[first[1:]].tolist())]
+            packed = [raw[x:y].tobytes() for x, y in zip(to[first].tolist(), to[first[1:]].tolist())]  # Parquet compresses many texts together
             names = [whole[x:y] for x, y in zip(start[rare].tolist(), start[rare + 1].tolist())]
             rares = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(names, pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), rares], schema=schema)
 
     def fill(batches):
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = [np.frombuffer(unpack.decompress(c), np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel() for c in b.column(1).to_pylist()]
-            off, ids = runs(np.array([len(t) for t in texts])), np.concatenate(texts).astype(np.int32)
+            data, data_off = utf8(b.column(1))
+            off, ids = data_off // kind.itemsize, data.view(kind).astype(np.int32)
             gap, gap_off = utf8(b.column(2).flatten())
             size = np.ones(len(ids), np.int64)
             empty = ids == hole
@@ -346,7 +352,8 @@ def encode(docs: DataFrame, model: str = MODEL, room: int = COMMON_BYTES) -> Dat
     numbered = only(docs, ("doc_id", "bigint"), ("text", "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     coded = bucketed(numbered.mapInArrow(code, "row bigint, doc_id bigint, code binary, rare array<string>"), "row", "zstd")
     rare = coded.select("row", F.posexplode("rare").alias("pos", "part")).join(found.select("part", "code"), "part")
-    gaps = rare.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("gaps"))
+    gap = F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), "code")  # one value, less than a struct on its way: sorted by its place
+    gaps = rare.select("row", gap.alias("gap")).groupBy("row").agg(F.transform(F.sort_array(F.collect_list("gap")), lambda x: F.substring(x, 5, 1 << 30)).alias("gaps"))
     whole = coded.select("row", "doc_id", "code").join(gaps, "row", "left").select("doc_id", "code", F.coalesce("gaps", F.array().cast("array<binary>")).alias("gaps"))
     return whole.mapInArrow(fill, "doc_id bigint, ids array<int>")
 
