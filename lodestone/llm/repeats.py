@@ -106,6 +106,8 @@ def triggers(sym: np.ndarray, off: np.ndarray, s: Shape) -> tuple[np.ndarray, ..
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
     if n < s.length:
         return none
+    if n > 1 << int(POS):
+        raise ValueError(f"a text has over {(1 << int(POS)) - BLOCK} symbols, more than a trigger's key can place")
     tabs = tables(sym, s.gram, s.seed)
     key = named(tabs, np.arange(n - s.gram + 1), s.gram)
     key >>= POS
