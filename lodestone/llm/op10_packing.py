@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -116,28 +117,24 @@ def token_pieces(docs: DataFrame, length: int, path: str, end_id: int) -> DataFr
 
 # ---------------------------------------------------------------- bin completion over lengths
 
+NODES = 1000  # of each depth-first search
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, how often), ...), number of bins
 
 
-def completions(room: int, sizes: list[int], left: np.ndarray, width: int) -> list[list[int]]:
-    """Undominated fillings of `room` from the sizes (descending) still there, least waste first, `width` at most.
+def completions(room: int, sizes: list[int], left: np.ndarray, width: int) -> tuple[list[list[int]], bool]:
+    """Undominated fillings of `room` from the sizes (descending) still there, least waste first, `width` at most; and whether these are all.
 
-    A filling is dominated if an item of it, or two of them, can be swapped for
-    one larger item that fits; taking at each step the largest that fits, then
-    the next smaller alternatives, visits the undominated ones first. The search
-    ends with `width` fillings without waste; beyond a budget of nodes, and deep
-    in a bin of many small items, what is left is filled with the largest that fit.
+    Taking at each step the largest that fits, then the next smaller alternatives
+    (width + 2 of them), visits fillings without waste early. The search ends with
+    `width` of those; beyond a budget of 64 * width steps, and past 24 items, what
+    is left is filled with the largest that fit. Dominated fillings go at the end.
     """
     asc = sizes[::-1]
     found: list[tuple[int, list[int]]] = []
-    budget = 64 * width
+    budget, full, whole = 64 * width, 0, True
 
     def fits(most: int) -> int:
-        lo, hi = 0, len(asc)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if asc[mid] <= most else (lo, mid)
-        return lo - 1
+        return bisect_right(asc, most) - 1
 
     used: dict[int, int] = {}
 
@@ -152,34 +149,68 @@ def completions(room: int, sizes: list[int], left: np.ndarray, width: int) -> li
         return rest, more
 
     def search(rest: int, cap: int, chosen: list[int]) -> None:
-        nonlocal budget
+        nonlocal budget, full, whole
         if budget <= 0 or len(chosen) >= 24:
+            whole = False
             waste, more = greedy(rest, cap)
             found.append((waste, chosen + more))
             return
         at, tried = fits(min(rest, cap)), 0
-        while at >= 0 and tried < 6:
+        while at >= 0:
             size = asc[at]
             at -= 1
             if left[size] - used.get(size, 0) <= 0:
                 continue
+            if tried == width + 2:
+                whole = False
+                return
             tried += 1
             budget -= 1
             used[size] = used.get(size, 0) + 1
             chosen.append(size)
             if rest == size:
                 found.append((0, list(chosen)))
+                full += 1
             else:
                 search(rest - size, size, chosen)
             chosen.pop()
             used[size] -= 1
-            if budget <= 0 or sum(w == 0 for w, _ in found) >= width:
+            if budget <= 0 or full >= width:
+                whole = False
                 return
         if tried == 0:
             found.append((rest, list(chosen)))
 
     search(room, room, [])
-    return [c for _, c in sorted(found, key=lambda x: (x[0], len(x[1])))[:width]] or [[]]
+    there, out = sum(1 << s for s in sizes), []
+    for waste, fill in sorted(found, key=lambda x: (x[0], len(x[1]))):
+        if len(out) == width:
+            return out, False
+        if not dominated(fill, waste, there, left):
+            out.append(fill)
+    return out or [min(found, default=(0, []), key=lambda x: (x[0], len(x[1])))[1]], whole
+
+
+def dominated(fill: list[int], waste: int, there: int, left: np.ndarray) -> bool:
+    """Whether one item outside could take the place of some of the filling's, which would then fit where it was.
+
+    The item is larger than those that go by `waste` at most, or as large as two
+    or more of them together. `there` has a bit for each size; sums of items of
+    the filling are bits, too.
+    """
+    for s in set(fill):
+        if left[s] <= fill.count(s):
+            there &= ~(1 << s)
+    some, several = 0, 0  # sums of at least one item, of at least two
+    for s in fill:
+        several |= some << s
+        some |= (some | 1) << s
+    larger, reach = (some | 1) << 1 if waste else 0, 1  # sums with 1 to `reach` added
+    while reach < waste:
+        more = min(reach, waste - reach)
+        larger |= larger << more
+        reach += more
+    return bool((larger | several) & there)
 
 
 def best_fit(counts: np.ndarray, length: int) -> list[Pattern]:
@@ -224,17 +255,13 @@ def tally(items) -> tuple[tuple[int, int], ...]:
 
 def bound(counts: np.ndarray, length: int) -> int:
     """Bins that any packing needs: the larger of total length and Martello and Toth's bound over all thresholds."""
-    size = np.arange(length + 1)
-    total = int((counts * size).sum())
-    best = -(-total // length)
-    n, w = np.cumsum(counts), np.cumsum(counts * size)
-    for k in range(0, length // 2 + 1):
-        big = int(n[length] - n[length - k])
-        mid = int(n[length - k] - n[length // 2])
-        mid_w = int(w[length - k] - w[length // 2])
-        small = int(w[length // 2] - (w[k - 1] if k else 0))
-        best = max(best, big + mid + max(0, -(-(small - (mid * length - mid_w)) // length)))
-    return best
+    n, w = np.cumsum(counts), np.cumsum(counts * np.arange(length + 1))
+    k, half = np.arange(length // 2 + 1), length // 2
+    over = n[length] - n[half]  # items that share no bin with each other
+    mid = n[length - k] - n[half]
+    small = w[half] - np.where(k, w[k - 1], 0)
+    more = small - (mid * length - (w[length - k] - w[half]))
+    return max(-(-int(w[length]) // length), int(over + np.maximum(0, -(-more // length)).max()))
 
 
 def complete(counts: np.ndarray, length: int, width: int, turn: int, waste: int) -> list[Pattern] | None:
@@ -253,7 +280,7 @@ def complete(counts: np.ndarray, length: int, width: int, turn: int, waste: int)
             return out
         left[largest] -= 1
         sizes = [int(x) for x in np.flatnonzero(left)[::-1] if x <= length - largest]
-        some = completions(length - largest, sizes, left, width) if sizes and largest < length else [[]]
+        some = completions(length - largest, sizes, left, width)[0] if sizes and largest < length else [[]]
         fill = some[min(len(some) - 1, int(node == turn))]
         left[largest] += 1
         pattern = tally([largest, *fill])
@@ -268,24 +295,85 @@ def complete(counts: np.ndarray, length: int, width: int, turn: int, waste: int)
                 return None
 
 
-def pack_lengths(counts: np.ndarray, length: int = LENGTH, width: int = 4, turns: int = 3) -> list[Pattern]:
+def choices(left: np.ndarray, length: int, width: int) -> tuple[list[Pattern], bool]:
+    """Patterns around the largest item left, each as often as the counts allow and then once; and whether these are all."""
+    largest = int(np.flatnonzero(left)[-1])
+    left[largest] -= 1
+    sizes = [int(x) for x in np.flatnonzero(left[: length - largest + 1])[::-1]]
+    fills, whole = completions(length - largest, sizes, left, width) if sizes else ([[]], True)
+    left[largest] += 1
+    patterns = [tally([largest, *f]) for f in fills]
+    often = [(p, min(int(left[s]) // c for s, c in p)) for p in patterns]
+    return often + [(p, 1) for p, n in often if n > 1], whole
+
+
+def branch(counts: np.ndarray, length: int, best: list[Pattern], width: int, nodes: int) -> tuple[list[Pattern], bool]:
+    """Depth-first search over choices() with backtracking; the best packing found, and whether none can be better.
+
+    A node is left if the bins so far and the bound of what is left come to the
+    incumbent. The search ends at the lower bound or after `nodes` nodes.
+    """
+    left, out, bins = counts.copy(), [], 0
+    n, least = sum(k for _, k in best), bound(counts, length)
+    if n <= least:
+        return best, True
+    first, whole = choices(left, length, width)
+    path = [iter(first)]
+    while path:
+        step = next(path[-1], None)
+        if step is not None:
+            if not nodes:
+                return best, False
+            nodes -= 1
+            out.append(step)
+            bins += step[1]
+            for s, c in step[0]:
+                left[s] -= step[1] * c
+            if not left.any():
+                if bins < n:
+                    best, n = list(out), bins
+                    if n <= least:
+                        return best, True
+            elif bins + bound(left, length) < n:
+                some, all_of = choices(left, length, width)
+                whole &= all_of
+                path.append(iter(some))
+                continue
+        else:
+            path.pop()
+            if not path:
+                break
+        pattern, k = out.pop()
+        bins -= k
+        for s, c in pattern:
+            left[s] += k * c
+    return best, whole
+
+
+def pack_lengths(counts: np.ndarray, length: int = LENGTH, width: int = 4, turns: int = 3, nodes: int = NODES) -> list[Pattern]:
     """Patterns with multiplicities that hold every item; counts[s] is the number of items of length s.
 
-    Best-fit decreasing is the first incumbent. Bin completion then searches
-    branches that differ from the best filling at one of the first nodes; a
-    branch is left by the waste bound, and the search ends as soon as the
-    incumbent meets the lower bound. The work depends on the number of different
-    lengths, `length` at most, not on that of documents.
+    Best-fit decreasing is the first incumbent. Bin completion then takes dives
+    that differ from the best filling at one of the first nodes, and after these a
+    depth-first search with backtracking, `nodes` nodes with `width` fillings each,
+    then as many with 4 and 16 times as many fillings. All ends as soon as the
+    incumbent meets the lower bound, or a search without limits of its own is
+    through: then no packing is better. The work depends on the number of
+    different lengths, `length` at most, and on `nodes`, not on that of documents.
     """
     counts = np.asarray(counts, np.int64)
     best, least = best_fit(counts, length), bound(counts, length)
     n, total = sum(k for _, k in best), int((counts * np.arange(length + 1)).sum())
     for turn in range(-1, turns):
         if n <= least:
-            break
+            return best
         new = complete(counts, length, width, turn, (n - 1) * length - total)
         if new is not None and (m := sum(k for _, k in new)) < n:
             best, n = new, m
+    for wide in (width, 4 * width, 16 * width):
+        best, done = branch(counts, length, best, wide, nodes)
+        if done:
+            break
     return best
 
 
