@@ -15,7 +15,6 @@ BINS = 256  # a power of two; a bin stores its low 8 bits
 BITS = 8
 SHINGLE = 5
 TRIES = 128
-CELLS = 1 << 14
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 1000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,33 +115,27 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Contiguous ranges of doc_id, with about as many rows each, make a partition
     each. The first document of a range is sent to the range before, too (tail
-    = 1), that of the first range to the last one. The ranges come from counts
-    over at most CELLS equal stretches of the id space, so what the driver sees
-    and what is broadcast has that many rows, whatever the size of docs.
+    = 1), that of the first range to the last one. The ranges are cut at
+    approximate quantiles, so ids far from the others, or in clumps, don't make
+    them uneven; rows of one id, or without one, are in one range. What the driver
+    sees and what is broadcast has a row for each partition, whatever the size of
+    docs.
     """
     spark = docs.sparkSession
     n, base = n_shuffle(spark), only(docs, ("doc_id", "bigint"), ("text", "string"))
-    lo, hi = base.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    key = F.coalesce("doc_id", F.lit(lo - 1 if lo > -(1 << 63) else lo))
-    width = max(1, -(-(hi - lo + 2) // CELLS))
-    cell = ((F.col("key") - F.lit(lo - 1)) / F.lit(width)).cast("int") if hi - lo < 1 << 52 else F.floor(F.col("key") / width - F.lit(lo // width)).cast("int")
-    keyed = base.withColumn("key", key).withColumn("cell", cell)
-    stats = sorted(keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("least")).collect())
-    total, seen, ranges = sum(r.n for r in stats), 0, []
-    for r in stats:
-        want = min(n - 1, seen * n // max(1, total))
-        if not ranges or ranges[-1][0] != want:
-            ranges.append((want, []))
-        ranges[-1][1].append(r)
-        seen += r.n
-    to, rows = slots(n), []
-    for i, (k, cells) in enumerate(ranges):
-        before = ranges[i - 1][0]
-        rows += [(r.cell, int(to[k]), cells[0].least if r is cells[0] else None, int(to[before])) for r in cells]
-    table = F.broadcast(spark.createDataFrame(rows, "cell int, part int, head bigint, before int"))
-    both = F.when(F.col("key") == F.col("head"), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))))
-    dealt = keyed.join(table, "cell").select(F.inline(both), "key", "doc_id", "text", F.xxhash64("text").alias("h"))
+    keyed = base.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    cuts = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 8 * n))).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts or []))
+    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    jumps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    keyed = keyed.withColumn("range", F.aggregate(jumps, F.lit(0), lambda at, j: F.when(F.get(bounds, at + j - 1) <= F.col("key"), at + j).otherwise(at)))
+    ranges = sorted(tuple(r) for r in keyed.groupBy("range").agg(F.min("key")).collect())
+    to = slots(n).tolist()
+    rows = [(r, to[k % n], least, to[(k - 1) % len(ranges) % n]) for k, (r, least) in enumerate(ranges)]
+    table = F.broadcast(spark.createDataFrame(rows, "range int, part int, head bigint, before int"))
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))
+    both = F.when(F.col("key") == F.col("head"), F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(own))
+    dealt = keyed.join(table, "range").select(F.inline(both), "key", "doc_id", "text", F.xxhash64("text").alias("h"))
     return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", "key", "h").select("part", "tail", "doc_id", "text")
 
 
