@@ -99,7 +99,7 @@ def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, grades:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample: the labelled ids whose hash is smallest; ids with several labels take the largest."""
+    """Features and labels of a bounded sample: the labelled ids whose hash is smallest; ids with several labels take the largest, with several texts that with the smallest hash."""
     spark = prepare(docs.sparkSession)
     some = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     table = F.broadcast(spark.createDataFrame([tuple(r) for r in some], "doc_id bigint, y int"))
@@ -109,10 +109,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE
             doc, bucket = features(*utf8(b.column(1)))
             edge = np.searchsorted(doc, np.arange(b.num_rows + 1))
             rows = [bucket[i:j].astype(np.int32).tobytes() for i, j in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(rows, pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     rows = only(docs, ("doc_id", "bigint"), ("text", "string")).join(table, "doc_id")
-    got = rows.select("doc_id", "text", "y").mapInArrow(make, "y int, x binary").limit(2 * sample).collect()
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    got = sorted(one.mapInArrow(make, "doc_id bigint, y int, x binary").collect(), key=lambda r: r.doc_id)
     x = [np.frombuffer(r.x, np.int32) for r in got]
     return np.repeat(np.arange(len(x)), [len(a) for a in x]), np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64), np.array([r.y for r in got], np.int64)
 

@@ -94,13 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ratio:
     """The two models and the cut.
 
     raw: counted over all of docs. target: counted over the texts labelled 1 in a
-    sample of at most `sample` labelled ids (those whose hashed id is smallest).
+    sample of at most `sample` labelled ids (those whose hashed id is smallest); an
+    id with both labels counts as 1.
     cut: the mean log ratio that best parts the labels of the sample, both kinds
     weighing alike, less a margin, so that doubtful texts stay. Without labels of
     both kinds everything is accepted.
     """
     spark = prepare(docs.sparkSession)
-    some = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     table = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality) for r in some.collect()], "doc_id bigint, label int"))
     known = stored(only(docs, ("doc_id", "bigint"), ("text", "string")).join(table, "doc_id"))
     raw, target = counts(docs), counts(known.where("label = 1"))
