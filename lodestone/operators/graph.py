@@ -14,11 +14,12 @@ EVERY = 5  # steps between checkpoints
 
 @dataclass(frozen=True)
 class Ranks:
-    """ranks: (id, rank); iterations: steps that were taken; delta: sum of changes in the last."""
+    """ranks: (id, rank); iterations: steps that were taken; delta: sum of changes in the last; deltas: in each."""
 
     ranks: DataFrame
     iterations: int
     delta: float | None
+    deltas: tuple[float, ...] = ()
 
 
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, beta: float = 0.85, iterations:
     sources = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
     state = nodes.join(sources, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")).cache()
     leak = state.agg(F.sum(F.when(~F.col("out"), F.col("rank")))).first()[0] or 0.0
-    delta, done = None, 0
+    delta, done, deltas = None, 0, []
     for done in range(1, iterations + 1):
         base = (beta * leak / n + (1 - beta) / n) if teleport else 0.0
         push = F.lit(beta if teleport else 1.0) * F.col("rank") * F.col("share")
@@ -69,11 +70,27 @@ def pagerank(nodes: DataFrame, edges: DataFrame, beta: float = 0.85, iterations:
         new = state.join(flow, "id", "left").select("id", "out", (F.coalesce("flow", F.lit(0.0)) + F.lit(base)).alias("rank"), F.col("rank").alias("old"))
         new = new.checkpoint() if done % EVERY == 0 else new.cache()
         delta, leak = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0))).first()
+        deltas.append(delta)
         state.unpersist()
         state = new.select("id", "out", "rank") if done % EVERY == 0 else new.drop("old")
         if tol is not None and teleport and delta < tol:
             break
-    return Ranks(state.select("id", "rank"), done if iterations else 0, delta)
+    return Ranks(state.select("id", "rank"), done if iterations else 0, delta, tuple(deltas))
+
+
+def convergence(nodes: DataFrame, edges: DataFrame, betas: tuple[float, ...] = (0.5, 0.7, 0.85, 0.95, 0.99), tols: tuple[float, ...] = (1e-10,), iterations: int = 500, k: int = 10) -> DataFrame:
+    """(beta, tol, iterations, delta, top): steps until the sum of changes is under each tolerance; null where it never is.
+
+    One run for each beta, to the smallest tolerance; top: its k first ids.
+    """
+    rows = []
+    for beta in betas:
+        got = pagerank(nodes, edges, beta, iterations, min(tols))
+        top = [str(r.id) for r in top_ranks(got.ranks, k).collect()]
+        for tol in tols:
+            step = next((i for i, d in enumerate(got.deltas) if d < tol), None)
+            rows.append((beta, tol, None if step is None else step + 1, None if step is None else got.deltas[step], top))
+    return nodes.sparkSession.createDataFrame(rows, "beta double, tol double, iterations int, delta double, top array<string>")
 
 
 def top_ranks(ranks: DataFrame, k: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MAPPERS = 8
 
@@ -18,7 +19,7 @@ def map_reduce(pairs: DataFrame, mapper: Callable, reducer: Callable, out: str,
     combiner runs on each batch of a map task, before the shuffle, and reducers
     stream over sorted rows, so that a task holds the values of one key at most.
     """
-    key, names = mid.split()[0], [c.split()[0] for c in mid.split(", ")]
+    names, last_names = StructType.fromDDL(mid).names, StructType.fromDDL(out).names
 
     def mapped(frames: Iterable[pd.DataFrame]):
         for f in frames:
@@ -41,11 +42,11 @@ def map_reduce(pairs: DataFrame, mapper: Callable, reducer: Callable, out: str,
                 last = k
                 held.append(v)
             if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
+                yield pd.DataFrame(rows, columns=last_names)
         if held:
-            yield pd.DataFrame(list(reducer(last, held)), columns=[c.split()[0] for c in out.split(", ")])
+            yield pd.DataFrame(list(reducer(last, held)), columns=last_names)
 
-    return pairs.mapInPandas(mapped, mid).repartition(key).sortWithinPartitions(key).mapInPandas(reduced, out)
+    return pairs.mapInPandas(mapped, mid).repartition(names[0]).sortWithinPartitions(names[0]).mapInPandas(reduced, out)
 
 
 def word_count(words: DataFrame, word: str = "word") -> DataFrame:

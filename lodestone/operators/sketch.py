@@ -99,6 +99,29 @@ def distinct_estimate(items: DataFrame, item: str, n_buckets: int = 64, seed: in
     return combine(registers(items, item, n_buckets, seed), n_buckets, rule)
 
 
+def by_size(items: DataFrame, item: str, draw: Column, sizes: tuple[int, ...], n_buckets: int = 64, seed: int = 246, rule: str = "median-then-mean") -> DataFrame:
+    """(size, n, exact, estimate, ratio): exact and estimated distinct counts of growing parts of items.
+
+    A row is in all parts of a size above its draw (0 or more). Registers are made
+    once by draw and merged by the largest, as are first draws of the exact count.
+    """
+    spark, drawn = items.sparkSession, items.withColumn("draw", draw)
+    rows = drawn.groupBy("draw").agg(F.count("*").alias("n"))
+    first = drawn.groupBy(F.col(item)).agg(F.min("draw").alias("draw")).groupBy("draw").agg(F.count("*").alias("exact"))
+    level = F.broadcast(spark.createDataFrame([(s,) for s in sizes], "size int"))
+    upto = lambda df, col: df.join(level, F.col("draw") < F.col("size")).groupBy("size").agg(F.sum(col).alias(col))
+    n, p = power_of_two(n_buckets), power_of_two(n_buckets).bit_length() - 1
+    h = seeded(seed, F.col(item))
+    hashed = drawn.select("draw", h.bitwiseAND(F.lit(n - 1)).cast("int").alias("bucket"), F.shiftrightunsigned(h, p).alias("lane"))
+    regs = hashed.groupBy("draw", "bucket").agg(F.max(trailing_zeros(F.col("lane"), 60 - p)).alias("r")).cache()
+    out = None
+    for s in sizes:
+        part = regs.where(F.col("draw") < s).groupBy("bucket").agg(F.max("r").alias("r"))
+        one = combine(part, n_buckets, rule).select(F.lit(s).alias("size"), "estimate")
+        out = one if out is None else out.unionByName(one)
+    return upto(rows, "n").join(upto(first, "exact"), "size").join(out, "size").select("size", "n", "exact", "estimate", F.try_divide(F.col("estimate"), F.col("exact")).alias("ratio"))
+
+
 # ---------------------------------------------------------------- samples
 
 

@@ -6,6 +6,7 @@ or run as streams; their tests are in tests/.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -56,6 +57,12 @@ def word_count(spark, d):
     return mapreduce.word_count(mapreduce.words_of(docs(spark, d)))
 
 
+@named(f"WITH {WORDS} SELECT word, count(*) AS n FROM words WHERE word <> '' GROUP BY word")
+def word_count_combined(spark, d):
+    words = mapreduce.words_of(docs(spark, d)).select("word", F.lit(1).cast("bigint").alias("one"))
+    return mapreduce.map_reduce(words, lambda k, v: [(k, v)], lambda k, vs: [(k, sum(vs))], "word string, n bigint", combiner=lambda k, vs: [sum(vs)])
+
+
 @named(f"WITH {WORDS} SELECT count(DISTINCT word) AS n FROM words WHERE word <> ''")
 def distinct_words(spark, d):
     return mapreduce.distinct_count(mapreduce.words_of(docs(spark, d)))
@@ -155,6 +162,40 @@ def similarity_comparisons(spark, d):
     return n
 
 
+DRAW = lambda x: f"('0x' || substr(md5('{SEED}:' || {x}), 1, 15))::BIGINT % 8"
+SIZES = (1, 2, 4, 8)  # eighths
+
+
+@named(
+    f"WITH {SETS}, {SIGS}, {CAND}, {FOUND}, {PAIRS}, d AS (SELECT doc, {DRAW('doc')} AS draw FROM sets), l AS (SELECT unnest([1, 2, 4, 8]) AS size), "
+    + ", ".join(f"{t}_d AS (SELECT greatest(x.draw, y.draw) AS draw FROM {t} JOIN d x ON x.doc = i JOIN d y ON y.doc = j)" for t in ("cand", "found", "truth"))
+    + " SELECT size::INTEGER AS size, (SELECT count(*) FROM d WHERE draw < size) AS n, (SELECT count(*) * (count(*) - 1) // 2 FROM d WHERE draw < size) AS all_pairs, "
+    + ", ".join(f"(SELECT count(*) FROM {t}_d WHERE draw < size) AS {c}" for t, c in (("cand", "lsh_comparisons"), ("found", "lsh_pairs"), ("truth", "exact_pairs")))
+    + " FROM l"
+)
+def similarity_by_size(spark, d):
+    """Comparisons of all pairs and of the bands, and similar pairs each finds, among growing random parts of the sets; the last is the whole."""
+    s = document_sets(spark, d)
+    cand = similarity.candidates(similarity.signatures(s, N_HASH, SEED), N_HASH, BANDS)
+    draw = lambda c: F.pmod(seeded(SEED, F.col(c)), F.lit(8))
+    level = F.broadcast(spark.createDataFrame([(x,) for x in SIZES], "size int"))
+    among = lambda df, at, name: level.join(df.select(at.alias("draw")).groupBy("draw").count(), F.col("draw") < F.col("size"), "left").groupBy("size").agg(F.coalesce(F.sum("count"), F.lit(0)).alias(name))
+    both = F.greatest(draw("i"), draw("j"))
+    n = among(s, draw("doc"), "n").withColumn("all_pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
+    for pairs, name in ((cand, "lsh_comparisons"), (similarity.verified(cand, s, THRESHOLD), "lsh_pairs"), (similarity.exact_pairs(s, THRESHOLD), "exact_pairs")):
+        n = n.join(among(pairs, both, name), "size")
+    return n
+
+
+@named(f"WITH {SETS}, {SIGS}, {CAND}, {FOUND} SELECT i, j, round(sim, 6) AS sim, round(len(list_filter(range(1, {N_HASH + 1}), lambda k: a.sig[k] = b.sig[k])) / {N_HASH}, 6) AS estimate FROM found JOIN sigs a ON a.doc = i JOIN sigs b ON b.doc = j")
+def signature_estimates(spark, d):
+    s = document_sets(spark, d)
+    g = similarity.signatures(s, N_HASH, SEED)
+    found = similarity.verified(similarity.candidates(g, N_HASH, BANDS), s, THRESHOLD)
+    a, b = g.select(F.col("doc").alias("i"), F.col("sig").alias("a")), g.select(F.col("doc").alias("j"), F.col("sig").alias("b"))
+    return rounded(found.join(a, "i").join(b, "j").select("i", "j", "sim", similarity.estimate(F.col("a"), F.col("b")).alias("estimate")), "sim", "estimate")
+
+
 @named(f"SELECT s / 10.0 AS similarity, round(1 - pow(1 - pow(s / 10.0, {N_HASH // BANDS}), {BANDS}), 6) AS chance FROM range(11) t(s)")
 def s_curve(spark, d):
     s = spark.range(11).select((F.col("id") / 10.0).alias("similarity"))
@@ -184,6 +225,27 @@ def bloom_false_positives(spark, d):
     return rounded(sketch.bloom_quality(c, o, "key", N_BITS, K, SEED), "fp_rate", "expected", "fill")
 
 
+GUESSES = (1, 2, 4, 7, 14)
+
+
+def bloom_with(k: int) -> str:
+    bits = "(SELECT DISTINCT bit FROM (" + " UNION ALL ".join(f"SELECT {h60(f'{SEED}-{i}', 'c_custkey')} % {N_BITS} AS bit FROM customer" for i in range(k)) + "))"
+    hit = " AND ".join(f"({h60(f'{SEED}-{i}', 'item')} % {N_BITS}) IN {bits}" for i in range(k))
+    return f"SELECT {k} AS k, round({N_BITS} * ln(2) / {k})::BIGINT AS guessed_n, (SELECT count(DISTINCT c_custkey) FROM customer) AS n_in, (SELECT count(*) FROM a WHERE {hit}) AS false_positives, round((SELECT count(*) FROM {bits}) / {N_BITS}, 6) AS fill"
+
+
+@named("WITH a AS (SELECT DISTINCT 'ghost' || o_orderkey AS item FROM orders) " + " UNION ALL ".join(bloom_with(k) for k in GUESSES))
+def bloom_by_guess(spark, d):
+    """False positives and fill of filters whose number of hashes suits a wrong guess of n, one hash among them."""
+    c = tables.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    o = tables.table(spark, d, "orders").select(F.concat(F.lit("ghost"), F.col("o_orderkey").cast("string")).alias("key"))
+    out = None
+    for k in GUESSES:
+        one = sketch.bloom_quality(c, o, "key", N_BITS, k, SEED).select(F.lit(k).alias("k"), F.lit(round(N_BITS * math.log(2) / k)).cast("bigint").alias("guessed_n"), "n_in", "false_positives", F.round("fill", 6).alias("fill"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @named("SELECT n, greatest(1, round_even(80000 / n * ln(2), 0))::INTEGER AS k FROM (VALUES (2000), (4000), (8000), (16000), (32000)) t(n)")
 def bloom_optimal_k(spark, d):
     return spark.createDataFrame([(n, sketch.optimal_k(80_000, n)) for n in (2000, 4000, 8000, 16000, 32000)], "n int, k int")
@@ -222,6 +284,20 @@ def exact_distinct(spark, d):
     return mapreduce.distinct_count(event_keys(spark, d), "key")
 
 
+@named(
+    f"WITH k AS (SELECT user_id || '|' || event_type AS key, {DRAW('event_id')} AS draw FROM events), h AS (SELECT key, draw, {h60(str(SEED), 'key')} AS h FROM k), l AS (SELECT unnest([1, 2, 4, 8]) AS size), "
+    "regs AS (SELECT size, h & 63 AS bucket, max(CASE WHEN (h >> 6) = 0 THEN 54 ELSE bit_count(((h >> 6) & (-(h >> 6))) - 1) END) AS r FROM h JOIN l ON draw < size GROUP BY 1, 2), "
+    "v AS (SELECT s.size, b // 16 AS g, coalesce(pow(2, r), 0) AS v FROM l s CROSS JOIN range(64) t(b) LEFT JOIN regs ON bucket = b AND regs.size = s.size), "
+    "e AS (SELECT size, 0.77351 * 64 * avg(x) AS estimate FROM (SELECT size, g, median(v) AS x FROM v GROUP BY 1, 2) GROUP BY 1), "
+    "n AS (SELECT size, count(*) AS n, count(DISTINCT key) AS exact FROM k JOIN l ON draw < size GROUP BY 1) "
+    "SELECT size::INTEGER AS size, n, exact, round(estimate, 4) AS estimate, round(estimate / exact, 6) AS ratio FROM n JOIN e USING (size)"
+)
+def distinct_by_size(spark, d):
+    events = tables.table(spark, d, "events").select("event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
+    got = sketch.by_size(events, "key", F.pmod(seeded(SEED, F.col("event_id")), F.lit(8)), SIZES, 64, SEED)
+    return got.withColumns({"estimate": F.round("estimate", 4), "ratio": F.round("ratio", 6)})
+
+
 @named(f"SELECT event_id, user_id FROM events ORDER BY {h60(str(SEED), 'event_id')}, event_id LIMIT 100")
 def reservoir_sample(spark, d):
     return sketch.reservoir(tables.table(spark, d, "events").select("event_id", "user_id"), 100, "event_id", SEED)
@@ -268,6 +344,40 @@ def pagerank_converged(spark, d):
     return got.ranks.select(F.col("id"), "rank", F.lit(got.iterations).alias("iterations"))
 
 
+@named()
+def pagerank_convergence(spark, d):
+    """Steps by damping and tolerance. Fewer and looser ones than convergence() takes by itself."""
+    return graph.convergence(*tables.order_graph(spark, d), betas=(0.5, 0.7, 0.85), tols=(1e-2, 1e-3, 1e-4))
+
+
+EVERY_EDGE = EDGES.replace("edges AS (SELECT DISTINCT", "edges AS (SELECT")
+
+
+@named(f"WITH {EVERY_EDGE}, {rank_steps(True)} SELECT id, round(rank, 9) AS rank FROM r{STEPS}")
+def pagerank_multigraph(spark, d):
+    """Repeated edges count as often as they come."""
+    lines, orders = tables.table(spark, d, "lineitem"), tables.table(spark, d, "orders")
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    nodes, _ = tables.order_graph(spark, d)
+    return rounded(graph.pagerank(nodes, edges, iterations=STEPS, tol=None, multigraph=True).ranks, "rank", places=9)
+
+
+@named(f"WITH {EDGES} SELECT src, string_agg(dst, ',' ORDER BY dst) AS dsts FROM edges GROUP BY 1")
+def adjacency(spark, d):
+    return graph.adjacency(tables.order_graph(spark, d)[1]).select("src", F.array_join("dsts", ",").alias("dsts"))
+
+
+@named(
+    f"WITH a AS (WITH {EDGES}, {rank_steps(True)} SELECT * FROM r{STEPS}), b AS (WITH {EDGES}, {rank_steps(False)} SELECT * FROM r{STEPS}) "
+    "SELECT round(sum(a.rank), 9) AS total_a, round(sum(b.rank), 9) AS total_b, round(sum(abs(a.rank - b.rank)), 9) AS l1, round(max(abs(a.rank - b.rank)), 9) AS worst FROM a JOIN b USING (id)"
+)
+def rank_differences(spark, d):
+    """What ranks lose without teleport: both totals, the sum of differences and the largest."""
+    g = tables.order_graph(spark, d)
+    a, b = (graph.pagerank(*g, iterations=STEPS, tol=None, teleport=t).ranks for t in (True, False))
+    return rounded(graph.differences(a, b), "total_a", "total_b", "l1", "worst", places=9)
+
+
 @named()
 def pagerank_settled(spark, d):
     return graph.pagerank(*tables.order_graph(spark, d)).ranks
